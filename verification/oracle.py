@@ -138,11 +138,11 @@ def density_sql(value: str) -> str:
     return query(f"""{PREPARED}, vals as (select year, {value} as x from prepared where {value} is not null),
  spread as (select year, min(x) as lo, max(x) as hi, count(*) as n,
   stddev_samp(x) * pow(count(*), -0.2e0) as h from vals group by year having stddev_samp(x) > 0),
- grid as (select s.*, point, lo + (hi - lo) * point / 199 as at
+ grid as (select s.*, point, lo + (hi - lo) * point / 199 as location
   from spread s, (select cast(unnest(range(200)) as integer) as point))""",
-        """select g.year, point, round(at, 6) as at,
- round(sum(exp(-0.5e0 * ((at - x) / h) * ((at - x) / h))) / (any_value(n) * any_value(h) * sqrt(2e0 * pi())), 9) as density
- from grid g join vals v on v.year = g.year group by g.year, point, at""")
+        """select g.year, point, round(location, 6) as location,
+ round(sum(exp(-0.5e0 * ((location - x) / h) * ((location - x) / h))) / (any_value(n) * any_value(h) * sqrt(2e0 * pi())), 9) as density
+ from grid g join vals v on v.year = g.year group by g.year, point, location""")
 
 
 def describe_sql(by_year: bool) -> str:

@@ -177,7 +177,7 @@ def haversine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def utm_coordinates(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(clustering.projected(ais(spark, sf)).select("id", "Easting", "Northing"), 3)
+    return rounded(geo.with_utm(ais(spark, sf)).select("id", "Easting", "Northing"), 3)
 
 
 def cluster_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,7 +235,7 @@ def hist(column: str) -> Query:
 
 
 def dens(column: str) -> Query:
-    return lambda s, d: rounded(histograms.density(prepared(s, d), ["year"], column), 9, at=6)
+    return lambda s, d: rounded(histograms.density(prepared(s, d), ["year"], column), 9, location=6)
 
 
 def describe_rows(keys: list[str]) -> Query:

@@ -3,7 +3,7 @@
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.constants import FOCUS_AREA
@@ -62,21 +62,25 @@ def krueger_series(flattening: float = FLATTENING) -> tuple[float, float, list[f
     return 2 * math.sqrt(n) / (1 + n), radius, alphas
 
 
-def utm(lon: Column | str, lat: Column | str, zone: int = 33) -> tuple[Column, Column]:
-    """Easting and northing in metres on the northern half of a UTM zone."""
+def with_utm(df: DataFrame, lon: str = "Longitude", lat: str = "Latitude", zone: int = 33) -> DataFrame:
+    """Adds Easting and Northing in metres on the northern half of a UTM zone.
+
+    The angles are columns of their own, so that the series terms share them.
+    """
     ecc, radius, alphas = krueger_series()
-    sin_lat = F.sin(F.radians(_col(lat)))
-    dlon = F.radians(_col(lon) - F.lit(6.0 * zone - 183.0))
-    t = F.sinh(F.atanh(sin_lat) - F.lit(ecc) * F.atanh(F.lit(ecc) * sin_lat))
-    xi = F.atan2(t, F.cos(dlon))
-    eta = F.atanh(F.sin(dlon) / F.sqrt(1.0 + t * t))
+    sin_lat = F.sin(F.radians(lat))
+    dlon = F.radians(F.col(lon) - F.lit(6.0 * zone - 183.0))
+    conformal = df.withColumn("_t", F.sinh(F.atanh(sin_lat) - F.lit(ecc) * F.atanh(F.lit(ecc) * sin_lat)))
+    xi, eta, t = F.col("_xi"), F.col("_eta"), F.col("_t")
+    angles = conformal.withColumns({
+        "_xi": F.atan2(t, F.cos(dlon)), "_eta": F.atanh(F.sin(dlon) / F.sqrt(1.0 + t * t))
+    })
     east, north = eta, xi
     for j, alpha in enumerate(alphas, start=1):
         k = float(2 * j)
         east = east + F.lit(alpha) * F.cos(k * xi) * F.sinh(k * eta)
         north = north + F.lit(alpha) * F.sin(k * xi) * F.cosh(k * eta)
-    return F.lit(FALSE_EASTING) + F.lit(SCALE * radius) * east, F.lit(SCALE * radius) * north
-
-
-def squared_distance(left: list[Column], right: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [(p - q) * (p - q) for p, q in zip(left, right)])
+    scale = F.lit(SCALE * radius)
+    return angles.withColumns({
+        "Easting": F.lit(FALSE_EASTING) + scale * east, "Northing": scale * north
+    }).drop("_t", "_xi", "_eta")

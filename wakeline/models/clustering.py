@@ -7,30 +7,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.constants import CLUSTER_FEATURES, CLUSTER_SAMPLE_ROWS, FEATURES
-from wakeline.functions.geo import utm
+from wakeline.functions.geo import with_utm
 from wakeline.operators.sampling import fixed_sample
 from wakeline.operators.scaling import standardised
+from wakeline.session import checkpointed
 
 CLUSTERS = 5
 SEED = 42
 
 
-def projected(df: DataFrame) -> DataFrame:
-    easting, northing = utm("Longitude", "Latitude")
-    return df.withColumns({"Easting": easting, "Northing": northing})
-
-
 def cluster_rows(df: DataFrame, sample_rows: int | None = CLUSTER_SAMPLE_ROWS) -> DataFrame:
     """Fixed-size sample without nulls and repeats, in metres; sample_rows=None keeps all rows."""
     rows = df.select("id", *FEATURES)
     rows = rows if sample_rows is None else fixed_sample(rows, sample_rows)
     distinct = rows.na.drop().groupBy(*FEATURES).agg(F.min("id").alias("id"))
-    return projected(distinct).select("id", *CLUSTER_FEATURES)
+    return with_utm(distinct).select("id", *CLUSTER_FEATURES)
 
 
 def cluster_input(df: DataFrame, sample_rows: int | None = CLUSTER_SAMPLE_ROWS) -> DataFrame:
-    """`cluster_rows` with standardised features."""
+    """`cluster_rows` with standardised features; a sample is stored once, the whole table is read twice."""
     rows = cluster_rows(df, sample_rows)
+    rows = rows if sample_rows is None else checkpointed(rows)
     return standardised(rows, rows, CLUSTER_FEATURES)
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.models.components import components
-from wakeline.models.neighbours import STEP, neighbour_counts, with_tiles
-from wakeline.operators.pairwise import reduce_pairs, squared_distances, stacked
+from wakeline.models.neighbours import neighbour_counts, with_tiles
+from wakeline.operators.pairwise import STEP, reduce_pairs, squared_distances, stacked
 from wakeline.session import checkpointed
 
 NOISE = -1

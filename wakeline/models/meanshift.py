@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.constants import MEANSHIFT_SAMPLE_ROWS
-from wakeline.operators.pairwise import CANDIDATE_ROWS, reduce_pairs, squared_distances
+from wakeline.operators.pairwise import reduce_pairs, squared_distances
 from wakeline.operators.sampling import fixed_sample
 from wakeline.session import checkpointed
 
 QUANTILE = 0.3
 MAX_ROUNDS = 300
 SEEDS_PER_TASK = 512
+MOST_ROWS = 20000
 
 
 def bandwidth(points: DataFrame, features: list[str], n: int, quantile: float = QUANTILE) -> DataFrame:
@@ -28,14 +29,14 @@ def bandwidth(points: DataFrame, features: list[str], n: int, quantile: float =
         d2 = squared_distances(here[features].to_numpy(), there[features].to_numpy())
         return pd.DataFrame({"radius": np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1])})
 
-    radii = reduce_pairs(rows, rows, "tile", radius, "radius double", home_rows=SEEDS_PER_TASK)
+    radii = reduce_pairs(rows, rows, "tile", radius, "radius double", home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS)
     return radii.agg(F.avg("radius").alias("bandwidth"))
 
 
 def mean_shift(points: DataFrame, features: list[str], sample_rows: int = MEANSHIFT_SAMPLE_ROWS) -> DataFrame:
     """Sampled points with their cluster, numbered from the most crowded centre."""
-    if sample_rows > CANDIDATE_ROWS:
-        raise ValueError(f"mean shift holds its sample in every task: at most {CANDIDATE_ROWS} rows")
+    if sample_rows > MOST_ROWS:
+        raise ValueError(f"mean shift holds its sample in every task: at most {MOST_ROWS} rows")
     sample = checkpointed(fixed_sample(points, sample_rows))
     n = sample.count()
     width = bandwidth(sample, features, n).first()["bandwidth"]
@@ -75,7 +76,7 @@ def mean_shift(points: DataFrame, features: list[str], sample_rows: int = MEANSH
         kept = ranked[alive][features].reset_index(drop=True)
         return kept.assign(cluster=np.arange(len(kept), dtype="int32"), tile=0)
 
-    peaks = reduce_pairs(rows, rows, "tile", climb, f"{columns}, inside long", home_rows=SEEDS_PER_TASK)
+    peaks = reduce_pairs(rows, rows, "tile", climb, f"{columns}, inside long", home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS)
     # One centre per seed: bounded by the sample.
     centres = checkpointed(peaks.groupBy().applyInPandas(merge, f"{columns}, cluster int, tile int"))
 
@@ -86,6 +87,6 @@ def mean_shift(points: DataFrame, features: list[str], sample_rows: int = MEANSH
 
     labels = reduce_pairs(
         rows, centres.withColumn("id", F.col("cluster").cast("long")), "tile", nearest, "id long, cluster int",
-        home_rows=SEEDS_PER_TASK,
+        home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS,
     )
     return sample.join(labels, "id")

@@ -5,9 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.operators.pairwise import reduce_pairs, squared_distances, stacked
-
-STEP = 256
+from wakeline.operators.pairwise import STEP, reduce_pairs, squared_distances, stacked
 
 
 def nearest(train: DataFrame, rows: DataFrame, features: list[str], k: int = 5, label: str = "Type") -> DataFrame:

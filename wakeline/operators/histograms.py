@@ -62,11 +62,11 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = DENSITY_PO
     on_grid = (
         weighted.join(F.broadcast(spread), keys)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("at", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1))
+        .withColumn("location", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1))
     )
-    z = (F.col("at") - F.col("x")) / F.col("bandwidth")
-    summed = on_grid.groupBy(*keys, "point", "at", "n", "bandwidth").agg(
+    z = (F.col("location") - F.col("x")) / F.col("bandwidth")
+    summed = on_grid.groupBy(*keys, "point", "location", "n", "bandwidth").agg(
         F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("total")
     )
     norm = F.col("n") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi())
-    return summed.select(*keys, "point", "at", (F.col("total") / norm).alias("density"))
+    return summed.select(*keys, "point", "location", (F.col("total") / norm).alias("density"))

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators.pairwise import reduce_pairs, squared_distances, stacked
+from wakeline.operators.pairwise import STEP, reduce_pairs, squared_distances, stacked
 
 
 def cluster_sizes(labelled: DataFrame) -> DataFrame:
@@ -72,20 +72,20 @@ def silhouette_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
 
     def distance_sums(home: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         names, member = np.unique(other["cluster"].to_numpy(), return_inverse=True)
-        order = np.argsort(member, kind="stable")
-        starts = np.searchsorted(member[order], np.arange(len(names)))
-        here, there = home[features].to_numpy(), other[features].to_numpy()[order]
+        inside = (member[:, None] == np.arange(len(names))[None, :]).astype("float64")
+        here, there = home[features].to_numpy(), other[features].to_numpy()
         parts = []
-        for at in range(0, len(home) if len(other) else 0, 256):
-            block = home.iloc[at:at + 256]
-            sums = np.add.reduceat(np.sqrt(squared_distances(here[at:at + 256], there)), starts, axis=1)
-            parts.append(pd.DataFrame({
-                "id": np.repeat(block["id"].to_numpy(), len(names)),
-                "own": np.repeat(block["cluster"].to_numpy(), len(names)),
-                "cluster": np.tile(names, len(block)),
-                "total": sums.ravel(),
-            }))
-        return stacked(parts, ["id", "own", "cluster", "total"])
+        for at in range(0, len(home) if len(other) else 0, STEP):
+            distance = squared_distances(here[at:at + STEP], there)
+            parts.append(np.sqrt(distance, out=distance) @ inside)
+        if not parts:
+            return stacked([], ["id", "own", "cluster", "total"])
+        return pd.DataFrame({
+            "id": np.repeat(home["id"].to_numpy(), len(names)),
+            "own": np.repeat(home["cluster"].to_numpy(), len(names)),
+            "cluster": np.tile(names, len(home)),
+            "total": np.concatenate(parts).ravel(),
+        })
 
     sums = reduce_pairs(rows, rows, "tile", distance_sums, "id long, own int, cluster int, total double")
     sizes = cluster_sizes(rows)
