@@ -37,7 +37,8 @@ def in_polygon(lon: Column | str, lat: Column | str, ring: list[tuple[float, flo
         turn = F.lit(x2 - x1) * (y - F.lit(y1)) - F.lit(y2 - y1) * (x - F.lit(x1))
         on_edge.append((turn == 0.0) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
     odd = reduce(lambda a, b: a != b, crossings)
-    return F.coalesce(box & odd & ~reduce(lambda a, b: a | b, on_edge), F.lit(False))
+    # Only the exact part is guarded against nulls: a guard around the box would keep it from the scan.
+    return box & F.coalesce(odd & ~reduce(lambda a, b: a | b, on_edge), F.lit(False))
 
 
 def haversine_km(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str) -> Column:

@@ -28,6 +28,7 @@ from wakeline.operators.scaling import standardised
 
 SEED = 42
 MAX_DEPTH = 30
+FOREST_DEPTH = 20
 TREES = 100
 ITERATIONS = 1000
 FOURIER_FEATURES = 128
@@ -68,7 +69,7 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def random_forest(train: DataFrame, test: DataFrame) -> DataFrame:
     forest = RandomForestClassifier(
-        numTrees=TREES, maxDepth=MAX_DEPTH, featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024
+        numTrees=TREES, maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt", seed=SEED, maxMemoryInMB=1024
     )
     return predict(fit(forest, train, weighted=True), test)
 
@@ -136,7 +137,7 @@ def extra_trees(train: DataFrame, test: DataFrame) -> DataFrame:
     ranges = {c: (limits[f"{c}_lo"], limits[f"{c}_hi"]) for c in FEATURES}
     (stepped, columns), (stepped_test, _) = shifted_steps(train, ranges), shifted_steps(test, ranges)
     forest = RandomForestClassifier(
-        numTrees=TREES, maxDepth=MAX_DEPTH, featureSubsetStrategy="sqrt", bootstrap=False, maxBins=128,
+        numTrees=TREES, maxDepth=FOREST_DEPTH, featureSubsetStrategy="sqrt", bootstrap=False, maxBins=128,
         seed=SEED, maxMemoryInMB=1024,
     )
     return predict(fit(forest, stepped, columns, weighted=True), stepped_test)

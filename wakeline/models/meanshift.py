@@ -22,14 +22,14 @@ MOST_ROWS = 20000
 
 def bandwidth(points: DataFrame, features: list[str], n: int, quantile: float = QUANTILE) -> DataFrame:
     """Mean distance to the int(quantile * n)-th neighbour, a point being its own first: one row."""
-    rows = points.select("id", *features, F.lit(0).alias("tile"))
+    rows = points.select("id", *features)
     k = max(int(n * quantile), 1)
 
     def radius(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         d2 = squared_distances(here[features].to_numpy(), there[features].to_numpy())
         return pd.DataFrame({"radius": np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1])})
 
-    radii = reduce_pairs(rows, rows, "tile", radius, "radius double", home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS)
+    radii = reduce_pairs(rows, rows, None, radius, "radius double", home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS)
     return radii.agg(F.avg("radius").alias("bandwidth"))
 
 
@@ -40,7 +40,7 @@ def mean_shift(points: DataFrame, features: list[str], sample_rows: int = MEANSH
     sample = checkpointed(fixed_sample(points, sample_rows))
     n = sample.count()
     width = bandwidth(sample, features, n).first()["bandwidth"]
-    rows = sample.select("id", *features, F.lit(0).alias("tile"))
+    rows = sample.select("id", *features)
     width2, stop2 = width * width, (1e-3 * width) ** 2
     columns = ", ".join(f"{f} double" for f in features)
 
@@ -74,11 +74,11 @@ def mean_shift(points: DataFrame, features: list[str], sample_rows: int = MEANSH
                 alive[squared_distances(at[i:i + 1], at)[0] <= width2] = False
                 alive[i] = True
         kept = ranked[alive][features].reset_index(drop=True)
-        return kept.assign(cluster=np.arange(len(kept), dtype="int32"), tile=0)
+        return kept.assign(cluster=np.arange(len(kept), dtype="int32"))
 
-    peaks = reduce_pairs(rows, rows, "tile", climb, f"{columns}, inside long", home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS)
+    peaks = reduce_pairs(rows, rows, None, climb, f"{columns}, inside long", home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS)
     # One centre per seed: bounded by the sample.
-    centres = checkpointed(peaks.groupBy().applyInPandas(merge, f"{columns}, cluster int, tile int"))
+    centres = checkpointed(peaks.groupBy().applyInPandas(merge, f"{columns}, cluster int"))
 
     def nearest(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         there = there.sort_values("cluster")
@@ -86,7 +86,7 @@ def mean_shift(points: DataFrame, features: list[str], sample_rows: int = MEANSH
         return pd.DataFrame({"id": here["id"], "cluster": there["cluster"].to_numpy()[d2.argmin(axis=1)]})
 
     labels = reduce_pairs(
-        rows, centres.withColumn("id", F.col("cluster").cast("long")), "tile", nearest, "id long, cluster int",
+        rows, centres.withColumn("id", F.col("cluster").cast("long")), None, nearest, "id long, cluster int",
         home_rows=SEEDS_PER_TASK, candidate_rows=MOST_ROWS,
     )
     return sample.join(labels, "id")

@@ -13,8 +13,8 @@ def nearest(train: DataFrame, rows: DataFrame, features: list[str], k: int = 5,
 
     Every block pair hands on its k nearest only; ties go to the smaller training id.
     """
-    home = rows.select("id", F.col(label).alias("actual"), *features, F.lit(0).alias("tile"))
-    base = train.select("id", label, *features, F.lit(0).alias("tile"))
+    home = rows.select("id", F.col(label).alias("actual"), *features)
+    base = train.select("id", label, *features)
 
     def closest(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -36,7 +36,7 @@ def nearest(train: DataFrame, rows: DataFrame, features: list[str], k: int = 5,
         return stacked(parts, ["id", "actual", "neighbour", "label", "distance2"])
 
     found = reduce_pairs(
-        home, base, "tile", closest, "id long, actual int, neighbour long, label int, distance2 double"
+        home, base, None, closest, "id long, actual int, neighbour long, label int, distance2 double"
     )
     order = Window.partitionBy("id").orderBy("distance2", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -21,15 +21,23 @@ STEP = 32
 def reduce_pairs(
     home: DataFrame,
     candidates: DataFrame,
-    tile: str,
+    tile: str | None,
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
     row_id: str = "id",
     home_rows: int = HOME_ROWS,
     candidate_rows: int = CANDIDATE_ROWS,
 ) -> DataFrame:
-    """Apply fn(home block, candidate block) to all blocks that share a tile value."""
+    """Apply fn(home block, candidate block) to all blocks that share a tile value.
+
+    Without a tile all rows form one; its block counts are then a single row and are broadcast.
+    """
+    whole = tile is None
+    if whole:
+        tile = "tile"
+        home, candidates = home.withColumn(tile, F.lit(0)), candidates.withColumn(tile, F.lit(0))
     sizes = _blocks(home, tile, home_rows, "homes").join(_blocks(candidates, tile, candidate_rows, "cands"), tile)
+    sizes = F.broadcast(sizes) if whole else sizes
     split = {
         "home": _spread(home.join(sizes, tile), row_id, "homes", "cands", "home_block", "cand_block"),
         "cand": _spread(candidates.join(sizes, tile), row_id, "cands", "homes", "cand_block", "home_block"),

@@ -49,7 +49,7 @@ def davies_bouldin(labelled: DataFrame, features: list[str]) -> DataFrame:
     # Centroids are aggregates and small in practice, yet unbounded; the optimizer sees their size.
     spread = labelled.join(centres, "cluster").groupBy("cluster", *[f"c_{f}" for f in features]).agg(
         F.avg(F.sqrt(_spread_from_centre(features))).alias("s")
-    ).withColumn("tile", F.lit(0))
+    )
     columns = [f"c_{f}" for f in features]
 
     def worst(home: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
@@ -61,14 +61,14 @@ def davies_bouldin(labelled: DataFrame, features: list[str]) -> DataFrame:
         ratio[home["cluster"].to_numpy()[:, None] == other["cluster"].to_numpy()[None, :]] = 0.0
         return pd.DataFrame({"cluster": home["cluster"], "worst": ratio.max(axis=1)})
 
-    ratios = reduce_pairs(spread, spread, "tile", worst, "cluster int, worst double", row_id="cluster")
+    ratios = reduce_pairs(spread, spread, None, worst, "cluster int, worst double", row_id="cluster")
     per_cluster = ratios.groupBy("cluster").agg(F.max("worst").alias("worst"))
     return per_cluster.agg(F.avg("worst").alias("davies_bouldin"), F.count("*").alias("k")).where("k > 1").drop("k")
 
 
 def silhouette_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
     """Exact silhouette of every row: (id, cluster, silhouette); 0 in a cluster of one."""
-    rows = labelled.select("id", F.col("cluster").cast("int").alias("cluster"), *features, F.lit(0).alias("tile"))
+    rows = labelled.select("id", F.col("cluster").cast("int").alias("cluster"), *features)
 
     def distance_sums(home: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         names, member = np.unique(other["cluster"].to_numpy(), return_inverse=True)
@@ -87,7 +87,7 @@ def silhouette_rows(labelled: DataFrame, features: list[str]) -> DataFrame:
             "total": np.concatenate(parts).ravel(),
         })
 
-    sums = reduce_pairs(rows, rows, "tile", distance_sums, "id long, own int, cluster int, total double")
+    sums = reduce_pairs(rows, rows, None, distance_sums, "id long, own int, cluster int, total double")
     sizes = cluster_sizes(rows)
     means = (
         sums.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"))

@@ -10,6 +10,9 @@ from wakeline.operators.sampling import balanced_sample, stratified_split
 from wakeline.operators.scaling import standardised
 from wakeline.session import checkpointed
 
+# Learners pass over the sample many times: enough tasks to share the work, few enough to start fast.
+SAMPLE_PARTITIONS = 8
+
 
 def training_rows(reports: DataFrame) -> DataFrame:
     """Reports of real vessels inside the area, as the learners expect them."""
@@ -19,7 +22,8 @@ def training_rows(reports: DataFrame) -> DataFrame:
 def split_sample(reports: DataFrame) -> DataFrame:
     """The balanced sample with its train/test mark. It has at most 30000 rows and is stored before use."""
     rows = reports.select("id", "Type", *FEATURES).na.drop(subset=FEATURES)
-    return checkpointed(stratified_split(checkpointed(balanced_sample(rows))))
+    parts = stratified_split(checkpointed(balanced_sample(rows)))
+    return checkpointed(parts.repartition(SAMPLE_PARTITIONS, "id"))
 
 
 def train_and_test(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
