@@ -43,10 +43,12 @@ def reduce_pairs(
         "cand": _spread(candidates.join(sizes, tile), row_id, "cands", "homes", "cand_block", "home_block"),
     }
     keys = [tile, "home_block", "cand_block"]
-    # Both sides may come from one frame: new column identities keep them apart.
-    others = split["cand"].toDF(*split["cand"].columns)
+    # Both sides may come from one frame: new column identities keep them apart. The blocks are
+    # small in bytes and heavy in work, so their number of tasks is set, not left to coalescing.
+    tasks = 2 * home.sparkSession.sparkContext.defaultParallelism
+    others = split["cand"].toDF(*split["cand"].columns).repartition(tasks, *keys)
     return (
-        split["home"].groupBy(*keys)
+        split["home"].repartition(tasks, *keys).groupBy(*keys)
         .cogroup(others.groupBy(*keys))
         .applyInPandas(lambda h, c: fn(h, c), schema)
     )
@@ -66,10 +68,12 @@ def _spread(df: DataFrame, row_id: str, own: str, other: str, own_block: str, ot
 
 def squared_distances(a, b):
     """Matrix of squared Euclidean distances, summed coordinate by coordinate without cancellation."""
-    total = np.subtract.outer(a[:, 0], b[:, 0])
+    columns = np.ascontiguousarray(b.T)
+    total = a[:, 0, None] - columns[0]
     total *= total
-    for k in range(1, a.shape[1]):
-        step = np.subtract.outer(a[:, k], b[:, k])
+    step = np.empty_like(total)
+    for k in range(1, len(columns)):
+        np.subtract(a[:, k, None], columns[k], out=step)
         step *= step
         total += step
     return total

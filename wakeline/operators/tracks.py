@@ -12,6 +12,7 @@ from wakeline.constants import GAP_THRESHOLDS, SMALL_TRACK_ROWS, TRACK_SIZE_THRE
 from wakeline.functions import time
 from wakeline.operators.quantiles import exact_quantiles
 from wakeline.schema import TRACK_KEYS, require_columns
+from wakeline.session import small_side
 
 
 def track_sizes(df: DataFrame, small: int = SMALL_TRACK_ROWS) -> DataFrame:
@@ -30,23 +31,24 @@ def track_sizes(df: DataFrame, small: int = SMALL_TRACK_ROWS) -> DataFrame:
 def tracks(df: DataFrame) -> DataFrame:
     """Reports that belong to a track: those of vessels with more than one row in the year.
 
-    Only the single-row keys are joined, so a busy vessel meets no matching row and the join
-    needs no order; its rows may still be split by the adaptive skew join.
+    Only the keys of single-row vessels are joined. They are counted first: while they are few the
+    reports are not shuffled at all; beyond that the join is a shuffle, whose hot keys the
+    adaptive skew join splits.
     """
     keyed = df.where(F.col("MMSI").isNotNull())
     singles = keyed.groupBy(*TRACK_KEYS).agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    return keyed.join(singles, TRACK_KEYS, "left_anti")
+    return keyed.join(small_side(singles), TRACK_KEYS, "left_anti")
 
 
 def tracks_of_size(df: DataFrame, size_class: str, small: int = SMALL_TRACK_ROWS) -> DataFrame:
     """Rows of the small (up to ten rows) or of the large tracks."""
     wanted = track_sizes(df, small).where(F.col("size_class") == size_class).select(*TRACK_KEYS)
-    return df.join(wanted, TRACK_KEYS, "left_semi")
+    return df.join(small_side(wanted), TRACK_KEYS, "left_semi")
 
 
 def new_tracks(df: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of tracks the store does not hold yet."""
-    return df.join(stored.select(*TRACK_KEYS).distinct(), TRACK_KEYS, "left_anti")
+    return df.join(small_side(stored.select(*TRACK_KEYS).distinct()), TRACK_KEYS, "left_anti")
 
 
 def saved_and_skipped(df: DataFrame, stored: DataFrame) -> DataFrame:

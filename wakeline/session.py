@@ -3,6 +3,9 @@
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -25,3 +28,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def small_side(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Key table for a join: broadcast when counted and found small, shuffled otherwise.
+
+    The keys are stored first, so counting them does not compute them twice.
+    """
+    stored = checkpointed(keys)
+    return F.broadcast(stored) if stored.count() <= limit else stored
