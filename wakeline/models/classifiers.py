@@ -106,7 +106,7 @@ def rbf_svm(train: DataFrame, test: DataFrame) -> DataFrame:
     """Balanced one-vs-rest linear machines over random Fourier features, in place of a kernel solver."""
     gamma = 1.0 / len(FEATURES)
     spread = [fourier_features(standardised(train, rows, FEATURES), FEATURES, gamma) for rows in (train, test)]
-    machine = LinearSVC(maxIter=100, regParam=1e-4)
+    machine = LinearSVC(maxIter=100, tol=1e-3, regParam=1e-4)
     model = fit(OneVsRest(classifier=machine, parallelism=4), spread[0], ["waves"], weighted=True)
     return predict(model, spread[1])
 

@@ -31,17 +31,18 @@ def take_smallest(df: DataFrame, keys: list[str], wanted: Column, row_id: str =
     """
     rows = df.withColumn("_range", F.floor(shuffle_key(row_id) / F.lit(KEY_SPACE / RANGES)).cast("int"))
     filled = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    totals = filled.groupBy(*keys).agg(F.sum("_n").alias("total"))
-    quotas = totals.withColumn("groups", F.expr("count(*) over ()")).select(*keys, wanted.cast("bigint").alias("_wanted"))
-    end = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range"))
-    fits = F.col("_end") <= F.col("_wanted")
+    # One row per group with its at most RANGES counts; the fold stops at the first range that does
+    # not fit whole.
+    fold = f"""aggregate(_parts, struct(0L as whole, {RANGES} as cut), (a, p) ->
+        if(a.cut < {RANGES}, a, if(a.whole + p._n <= _wanted,
+            struct(a.whole + p._n as whole, {RANGES} as cut), struct(a.whole as whole, p._range as cut))))"""
     cuts = (
-        filled.withColumn("_end", end).join(F.broadcast(quotas), keys).groupBy(*keys, "_wanted")
-        .agg(
-            F.coalesce(F.max(F.when(fits, F.col("_end"))), F.lit(0)).alias("_whole"),
-            F.coalesce(F.min(F.when(~fits, F.col("_range"))), F.lit(RANGES)).alias("_cut"),
-        )
-        .select(*keys, "_cut", (F.col("_wanted") - F.col("_whole")).alias("_open"))
+        filled.groupBy(*keys)
+        .agg(F.sum("_n").alias("total"), F.array_sort(F.collect_list(F.struct("_range", "_n"))).alias("_parts"))
+        .withColumn("groups", F.expr("count(*) over ()"))
+        .withColumn("_wanted", wanted.cast("bigint"))
+        .withColumn("_at", F.expr(fold))
+        .select(*keys, F.col("_at.cut").alias("_cut"), (F.col("_wanted") - F.col("_at.whole")).alias("_open"))
     )
     near = rows.join(F.broadcast(cuts), keys).where(F.col("_range") <= F.col("_cut"))
     # Only the range at the cut needs ranks: first in salted parts, then among the survivors.
