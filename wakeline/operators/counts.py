@@ -24,7 +24,8 @@ def class_quota(
 def vessel_types_by_year(df: DataFrame) -> DataFrame:
     """Vessels per type and year, each MMSI counted once with the type of its first report."""
     first = df.groupBy("year", "MMSI").agg(F.min_by("Type", "id").alias("Type"))
-    return first.groupBy("year", "Type").agg(F.count("*").alias("vessels")).orderBy("year", F.desc("vessels"), "Type")
+    counted = first.where(F.col("Type").isNotNull())
+    return counted.groupBy("year", "Type").agg(F.count("*").alias("vessels")).orderBy("year", F.desc("vessels"), "Type")
 
 
 def messages_daily(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def weekly_vessels(df: DataFrame, source: str | None = None, key: Column | None
     With `source` the uniques of every source file are summed, so a vessel in two files of one
     week counts twice; without it vessels are counted once. `key` splits into many series.
     """
-    rows = df.select(
+    rows = df.where(F.col("timestamp").isNotNull()).select(
         (key if key is not None else F.lit("ALL")).cast("string").alias("series_key"),
         time.week_start("timestamp").alias("week"),
         "MMSI",

@@ -74,7 +74,7 @@ def reporting_gaps(df: DataFrame) -> DataFrame:
     rows and a track by its days. Sums stay exact integers until the last division.
     """
     seconds = (
-        df.where(F.col("MMSI").isNotNull())
+        df.where(F.col("MMSI").isNotNull() & F.col("timestamp").isNotNull())
         .withColumn("day", F.floor(F.col("timestamp") / F.lit(time.DAY)))
         .groupBy(*TRACK_KEYS, "day", "timestamp").agg(F.count("*").alias("n"))
     )

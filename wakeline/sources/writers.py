@@ -61,3 +61,9 @@ def append_tracks(df: DataFrame, path: str) -> dict[str, int]:
 
 def stored_track_keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*[F.col(k) for k in TRACK_KEYS]).distinct()
+
+
+def write_results(tables: dict[str, DataFrame], path: str) -> None:
+    """Every result table of a run below one path; tables with a year are stored by year."""
+    for name, table in tables.items():
+        write_table(table, f"{path}/{name}", by="year" if "year" in table.columns else None)
