@@ -1,12 +1,14 @@
 """Connected components of similar texts, from candidate edges to verified links.
 
 Banding gives edges from each text to the smallest text of its bucket. Their components are only
-candidates; a true component never leaves one. A candidate component of up to ``BLOCK`` texts meets in
-one place, where buckets shared inside it say which pairs to compare, on full sets; pairs already
-connected are skipped. A larger one is dealt into blocks that each also get the component's first
-text, so that whatever is similar to it is connected across blocks at once. What is then still
-apart, but shares a bucket, is compared as pairs, kept when the signatures do not rule the
-pair out by five standard deviations, and verified on full sets. No link is lost to a cap.
+candidates; a true component never leaves one. A candidate component of bounded size meets in one
+place, where every pair not yet connected is compared on full sets, unless the signatures rule it
+out by five standard deviations. A larger one is first dealt into blocks that each also get the
+component's first text, the hub: whatever is similar to the hub is connected across blocks at once,
+and every text learns its distance to the hub. What is then still apart meets in tiles. The Jaccard
+distance is a metric, so linked texts differ in their distances to the hub by no more than the
+threshold distance: cells of that width need to meet only themselves and the next cell. Tiles return links,
+never pairs, and compare only texts of different components. No link is lost to a cap.
 
 An item is (id, text), one row per distinct text. Identifiers are longs without nulls.
 """
@@ -20,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.storage import stored
-from wakeline.llm.words import GOLDEN, mixed, signed, utf8
+from wakeline.llm.words import GOLDEN, mixed, utf8
 from wakeline.models.components import components
+from wakeline.session import small_side
 
 BLOCK = 256
 TILE = 512
-SLICE_BYTES = 1 << 20
+BYTES = 16 << 20
 
 
 class Measure(ABC):
@@ -53,11 +56,16 @@ class Measure(ABC):
             total = mixed(total ^ parts[:, :, i]) + GOLDEN
         return total
 
+    def similarity(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+        """(size of the intersection, of the union) of sorted distinct elements."""
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both, len(a) + len(b) - both
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         if 100 * min(len(a), len(b)) < self.percent * max(len(a), len(b)) or not len(a):
             return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * both >= self.percent * (len(a) + len(b) - both)
+        both, either = self.similarity(a, b)
+        return 100 * both >= self.percent * either
 
     def plausible(self) -> float:
         """Least share of equal signature entries; a linked pair is below it by chance 1 in 3 million."""
@@ -93,24 +101,23 @@ class Sets:
         self.up[b] = a
 
 
-def block_roots(measure: Measure, texts: list[bytes]) -> list[int]:
-    """For each text the first text of its component inside the block."""
-    sets, signatures = measure.distinct_sets(texts)
-    buckets: dict[int, list[int]] = {}
-    for i, row in enumerate(measure.keys(signatures).tolist()):
-        if len(sets[i]):
-            for key in row:
-                buckets.setdefault(key, []).append(i)
-    found, tested = Sets(len(texts)), set()
-    for members in buckets.values():
-        for x in range(1, len(members)):
-            i = members[x]
-            for j in members[:x]:
-                if found.root(i) != found.root(j) and (j, i) not in tested:
-                    tested.add((j, i))
-                    if measure.linked(sets[i], sets[j]):
-                        found.join(i, j)
-    return [found.root(i) for i in range(len(texts))]
+def connected(measure: Measure, sets: list[np.ndarray], signatures: np.ndarray, labels: list[int], parts: list[int] | None = None) -> Sets:
+    """Union-find over positions: equal labels are connected, and so are linked texts.
+
+    With two ``parts``, only texts of different parts are compared; the rest meets elsewhere.
+    """
+    found, first, least = Sets(len(sets)), {}, measure.plausible()
+    for i, label in enumerate(labels):
+        found.join(first.setdefault(label, i), i)
+    across = np.array(parts) if parts is not None and len(set(parts)) > 1 else None
+    for i in range(1, len(sets)):
+        near = (signatures[:i] == signatures[i]).mean(axis=1) >= least
+        if across is not None:
+            near &= across[:i] != across[i]
+        for j in np.flatnonzero(near).tolist():
+            if found.root(i) != found.root(j) and measure.linked(sets[i], sets[j]):
+                found.join(i, j)
+    return found
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -141,90 +148,90 @@ def similar_components(items: DataFrame, candidate_edges: DataFrame, measure: Me
     candidates = stored(candidate_edges, "edges")
     if candidates.isEmpty():
         return spark.createDataFrame([], "id long, root long")
-    groups = stored(components(candidates).select(F.col("node").alias("id"), "root"), "candidates")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
-    placed = groups.join(large, "root", "left").select(
-        "id", "root", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")) + 1).cast("int").alias("block"),
+    groups = small_side(components(candidates).select(F.col("node").alias("id"), F.col("root").alias("hub")))
+    lengths = items.select("id", F.octet_length("text").alias("bytes")).join(groups, "id")
+    members = stored(lengths.select("id", "hub", "bytes"), "members")
+    sizes = members.groupBy("hub").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BYTES)).cast("int")
+    large = stored(sizes.select("hub", blocks.alias("blocks"), "n").where("blocks > 1 and n > 2").drop("n"), "large")
+    placed = members.select("id", "hub").join(large, "hub", "left").select(
+        "id", "hub", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")) + 1).cast("int").alias("block"),
     )
-    hubs = large.select("root", F.explode(F.sequence(F.lit(1), "blocks")).alias("block")).select(F.col("root").alias("id"), "root", "block")
-    placed = placed.unionByName(hubs).distinct()
-    texts = placed.join(items.select("id", "text"), "id").select("root", "block", "id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(parts, "root", "block").sortWithinPartitions("root", "block", "id")
+    hubs = large.select("hub", F.explode(F.sequence(F.lit(1), "blocks")).alias("block")).select(F.col("hub").alias("id"), "hub", "block")
+    placed = small_side(placed.unionByName(hubs).distinct())
+    texts = _gathered(items.join(placed, "id").select("hub", "block", "id", "text"), ["hub", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped(batches, 2):
-            roots = block_roots(measure, [r[3] for r in rows])
             ids = [r[2] for r in rows]
-            columns = [pa.array(ids, pa.int64()), pa.array([ids[r] for r in roots], pa.int64()), pa.array([rows[0][1] > 0] * len(ids), pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "root", "large"])
-
-    found = stored(texts.mapInArrow(run, "id long, root long, large boolean"), "found")
+            sets, signatures = measure.distinct_sets([r[3] for r in rows])
+            found = connected(measure, sets, signatures, ids)
+            far = [0.0] * len(ids)
+            if rows[0][1]:
+                hub = sets[ids.index(rows[0][0])]
+                far = [1 - both / max(1, either) for both, either in (measure.similarity(hub, s) for s in sets)]
+            columns = [
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] > 0 for r in rows], pa.bool_()), pa.array(ids, pa.int64()),
+                pa.array([ids[found.root(i)] for i in range(len(ids))], pa.int64()), pa.array(far, pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["hub", "large", "id", "root", "far"])
+
+    found = stored(texts.mapInArrow(run, "hub long, large boolean, id long, root long, far double"), "found")
     small = found.where("not large and id <> root").select("id", "root")
     small = small.unionByName(small.select(F.col("root").alias("id"), "root").distinct())
     if large.isEmpty():
         return small
-    links = found.where("large").select(F.col("id").alias("u"), F.col("root").alias("v"))
-    return small.unionByName(_settled(items, groups.join(large, "root", "left_semi").select("id"), links, measure))
-
-
-def _settled(items: DataFrame, ids: DataFrame, links: DataFrame, measure: Measure) -> DataFrame:
-    """Components of texts of large candidate components, after comparing what is still apart."""
-    def labelled(links: DataFrame) -> DataFrame:
-        roots = components(links).select(F.col("node").alias("id"), "root")
-        return stored(ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "labels")
-
-    labels = labelled(links)
-    texts = items.select("id", "text").join(ids, "id", "left_semi")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from wakeline.llm.words import blocks
-
-        for batch in blocks(batches, 1, SLICE_BYTES):
-            raw = utf8(batch.column(1))
-            elements, owner = measure.sets(raw)
-            signatures = measure.signatures(elements, owner, len(raw)).astype(np.uint32)
-            keys = signed(np.ascontiguousarray(measure.keys(signatures)))
-            offsets = pa.array(np.arange(0, keys.size + 1, measure.bands), pa.int32())
-            columns = [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64())), pa.array([s.tobytes() for s in signatures], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "bands", "signature"])
-
-    sketches = stored(texts.mapInArrow(sketch, "id long, bands array<long>, signature binary").join(labels, "id"), "sketches")
-    rows = sketches.select("id", "root", F.explode("bands").alias("band"))
-    apart = rows.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a <> b")
-    apart = stored(apart.select("band", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "apart")
-    if apart.isEmpty():
-        return labels
-    # Every two of a bucket's slices of TILE rows meet in one tile.
-    tiled = rows.join(apart, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id", "root")
-    tiled = tiled.join(sketches.select("id", "signature"), "id").select("band", "a", "b", "id", "root", "signature")
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.repartition(parts, "band", "a", "b").sortWithinPartitions("band", "a", "b", "id")
-    least = measure.plausible()
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for members in grouped(batches, 3):
-            ids, roots = np.array([m[3] for m in members]), np.array([m[4] for m in members])
-            signatures = np.stack([np.frombuffer(m[5], np.uint32) for m in members])
-            for i in range(1, len(members)):
-                near = (roots[:i] != roots[i]) & ((signatures[:i] == signatures[i]).mean(axis=1) >= least)
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[:i][near], pa.int64()), pa.array(np.full(int(near.sum()), ids[i]), pa.int64())], ["u", "v"])
-
-    pairs = stored(tiled.mapInArrow(pair, "u long, v long").distinct(), "pairs")
-    both = pairs.join(items.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = both.join(items.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(utf8(batch.column(2)), utf8(batch.column(3))):
-                (x, y), _ = measure.distinct_sets([a, b])
-                keep.append(measure.linked(x, y))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    verified = both.mapInArrow(verify, "u long, v long")
-    return labelled(links.unionByName(stored(verified, "verified")))
+    return small.unionByName(_settled(items, found.where("large"), measure))
+
+
+def _gathered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of equal keys one after another in one partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "id")
+
+
+def _settled(items: DataFrame, found: DataFrame, measure: Measure) -> DataFrame:
+    """(id, root) of all texts of large candidate components, after tiles of what is still apart."""
+    links = found.select(F.col("id").alias("u"), F.col("root").alias("v"))
+    roots = components(links).select(F.col("node").alias("id"), "root")
+    members = found.select("hub", "id", "far").distinct().join(roots, "id", "left").select("hub", "id", "far", F.coalesce("root", "id").alias("root"))
+    members = stored(members, "members")
+    apart = members.groupBy("hub").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("hub")
+    width = (1 - measure.percent / 100) * 1.0001
+    cells = members.join(apart, "hub").withColumn("cell", F.floor(F.col("far") / width).cast("int"))
+    lengths = items.select("id", F.octet_length("text").alias("bytes"))
+    cells = stored(lengths.join(small_side(cells), "id"), "cells")
+    sizes = cells.groupBy("hub", "cell").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("bytes") / BYTES)).cast("int").alias("slices"))
+    sizes = stored(sizes, "slices")
+    beside = lambda step, name: sizes.select("hub", (F.col("cell") - step).alias("cell"), F.col("slices").alias(name))
+    cells = cells.join(sizes, ["hub", "cell"]).join(beside(1, "after"), ["hub", "cell"], "left").join(beside(-1, "before"), ["hub", "cell"], "left")
+    own = F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")
+    cells = cells.withColumn("own", own)
+    places = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda c, i, d, j: F.struct(c.alias("c"), i.alias("i"), d.alias("d"), j.alias("j"))
+    c, s = F.col("cell"), F.col("own")
+    tiles = F.concat(
+        F.transform(places(F.col("slices")), lambda t: tile(c, F.least(s, t), c, F.greatest(s, t))),
+        F.transform(places(F.col("after")), lambda t: tile(c, s, c + 1, t)),
+        F.transform(places(F.col("before")), lambda t: tile(c - 1, t, c, s)),
+    )
+    placed = cells.select("hub", "id", "root", F.concat_ws("/", "cell", "own").alias("part"), F.explode(tiles).alias("tile"))
+    placed = small_side(placed.select("hub", F.concat_ws("/", "tile.*").alias("tile"), "id", "root", "part"))
+    texts = _gathered(items.join(placed, "id").select("hub", "tile", "id", "root", "part", "text"), ["hub", "tile"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, 2):
+            labels = [r[3] for r in rows]
+            if len(set(labels)) == 1:
+                continue
+            sets, signatures = measure.distinct_sets([r[5] for r in rows])
+            joined = connected(measure, sets, signatures, labels, [r[4] for r in rows])
+            # Of two labels that are connected here the link goes from label to label.
+            links = {(x, labels[joined.root(i)]) for i, x in enumerate(labels)}
+            links = [(u, v) for u, v in links if u != v]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    more = stored(texts.mapInArrow(run, "u long, v long"), "links")
+    every = links.unionByName(more)
+    final = components(every).select(F.col("node").alias("id"), "root")
+    return members.select("id").join(final, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
