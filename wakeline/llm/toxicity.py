@@ -3,7 +3,7 @@
 Folding makes disguised spellings equal: compatibility forms, accents that only decorate, letters
 of other scripts that look Latin, and digits or signs that stand for letters between letters.
 The lexicon is learnt: each folded word of a labelled training document counts once, whole and by
-its beginnings of 4 to 7 letters, and gets the smoothed log-odds of the toxic label as weight.
+its beginnings of 3 to 7 letters, and gets the smoothed log-odds of the toxic label as weight.
 Phrases of a lexicon word and a neighbour that speak against the label become exceptions: an
 occurrence inside one counts the phrase's own weight. The sum of weights is normalised by the
 logarithm of the length, and a logistic curve fitted on the training rows turns it into 0..1.
@@ -34,8 +34,8 @@ from wakeline.llm.words import blocks
 
 #: Letters of other scripts that look like a Latin letter.
 HOMOGLYPHS = dict(zip(
-    "абвгеёзіїјкмнорстухѕһԁɡαβεηικνορτυχωνı",
-    "abbreeeiijkmhopctyxshdgabenikvoptuxwvi",
+    "абвгдеёзіїјкмнорстухѕһԁɡαβεηικνορτυχωı",
+    "abbrdeeeiijkmhopctyxshdgabenikvoptuxwi",
 ))
 #: Digits and signs that stand for a letter between letters.
 SUBSTITUTES = dict(zip("013457@$!|+", "oieastasiit"))
@@ -45,7 +45,7 @@ INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
 WORD = regex.compile(r"[\p{L}\p{N}@$!|+]+")
 LATIN = regex.compile(r"[a-z]")
 SIGNS = regex.compile(r"[013457@$!|+]")
-PREFIXES = range(4, 8)
+PREFIXES = range(3, 8)
 
 
 def folded_word(word: str) -> str:
@@ -62,7 +62,9 @@ def folded_word(word: str) -> str:
 
 def folded(text: str) -> list[str]:
     """The folded words of a text, in order."""
-    words = WORD.findall(unicodedata.normalize("NFKC", text).lower() if not text.isascii() else text.lower())
+    if not text.isascii():
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    words = WORD.findall(text.lower())
     return [w for w in map(_FOLDS.__getitem__, words) if w]
 
 
@@ -157,7 +159,7 @@ def learn(labelled: DataFrame, max_entries: int = 20_000, min_rows: int = 3) ->
     seen = F.col("toxic") + F.col("clean")
     strength = (F.col("toxic") - seen * prior) / F.sqrt(seen * (prior * (1 - prior)))
     entries = _counted(rows, terms).where(F.col("toxic") >= min_rows).select("term", odds.alias("weight"), strength.alias("strength"))
-    entries = entries.where("weight > 3 and strength > 5").orderBy(F.desc("strength"), "term").limit(max_entries)
+    entries = entries.where("weight > 3 and strength > 7").orderBy(F.desc("strength"), "term").limit(max_entries)
     lexicon = {r.term: r.weight for r in entries.collect()}  # bounded by max_entries
     known = rows.sparkSession.sparkContext.broadcast(frozenset(lexicon))
     against = _counted(rows, lambda words: phrases(words, known.value)).where(F.col("clean") >= min_rows).select("term", odds.alias("weight"), "clean")
