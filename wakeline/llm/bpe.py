@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from wakeline.llm.words import blocks
 
 LONG_WORD = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 NO_RANK = 1 << 60
 #: The pre-tokenizer's pattern (a fixed value of the file format).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -66,6 +66,7 @@ class Vocabulary:
         self.letters = byte_letters()
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def symbols(self, word: str) -> list[int]:
         letters = [self.letters[b] for b in word.encode("utf-8")]
@@ -115,8 +116,19 @@ class Vocabulary:
 
     def stretch(self, text: str) -> tuple[int, ...]:
         """Tokens of a stretch without white space."""
-        text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return tuple(i for word in PIECE.findall(text) for i in self.merge(self.symbols(word)))
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        # Letter by letter: a sigma that ends a word is no special case here.
+        text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
+        words, out = self.words, ()
+        if len(words) > CACHED_WORDS:
+            words.clear()
+        for word in PIECE.findall(text):
+            found = words.get(word)
+            if found is None:
+                found = words[word] = tuple(self.merge(self.symbols(word)))
+            out += found
+        return out
 
     def plain(self, text: str) -> array:
         """Tokens of a text without special tokens; stretches seen before come from the cache."""
@@ -154,42 +166,47 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """Add the token ids of ``text`` as an array of int. ``tokenizer`` is a file that every worker has."""
-    return _mapped(df, tokenizer, text, ids, T.ArrayType(T.IntegerType(), False), _encoded)
+def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """Add the token ids of ``text`` as an array of int, and if named the text decoded from them.
+
+    ``tokenizer`` is a file that every worker has.
+    """
+    targets = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded:
+        targets.append(T.StructField(decoded, T.StringType(), False))
+
+    def work(known: Vocabulary, column: pa.Array) -> list[pa.Array]:
+        rows = [known.encode(t or "") for t in column.to_pylist()]
+        offsets = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(r) for r in rows], out=offsets[1:])
+        flat = np.concatenate([np.frombuffer(r, np.int32) for r in rows])
+        out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))]
+        return [*out, pa.array([known.decode(r) for r in rows], pa.string())] if decoded else out
+
+    return _mapped(df, tokenizer, text, targets, work)
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """Add the text of an array of token ids; null and empty arrays give the empty text."""
-    return _mapped(df, tokenizer, ids, text, T.StringType(), _decoded)
 
+    def work(known: Vocabulary, column: pa.Array) -> list[pa.Array]:
+        return [pa.array([known.decode(r or ()) for r in column.to_pylist()], pa.string())]
 
-def _mapped(df: DataFrame, tokenizer: str, source: str, target: str, kind: T.DataType, work) -> DataFrame:
-    kept = df.drop(target) if target != source else df
-    at = kept.columns.index(source)
-    schema = T.StructType([*kept.schema.fields, T.StructField(target, kind, False)]) if target != source else None
-    if schema is None:
+    return _mapped(df, tokenizer, ids, [T.StructField(text, T.StringType(), False)], work)
+
+
+def _mapped(df: DataFrame, tokenizer: str, source: str, targets: list[T.StructField], work) -> DataFrame:
+    names = [t.name for t in targets]
+    if source in names:
         raise ValueError("input and output column must differ")
+    kept = df.drop(*names)
+    at = kept.columns.index(source)
+    texts = isinstance(kept.schema[source].dataType, T.StringType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(tokenizer)
-        for batch in batches:
-            column = batch.column(at)
-            parts = blocks(iter([batch]), at) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else [batch]
-            for part in parts:
-                out = work(known, part.column(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, target])
-
-    return kept.mapInArrow(run, schema)
-
-
-def _encoded(known: Vocabulary, column: pa.Array) -> pa.Array:
-    rows = [known.encode(t or "") for t in column.to_pylist()]
-    offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.concatenate([np.frombuffer(r, np.int32) for r in rows]) if rows else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
-
+        for part in blocks(batches, at) if texts else batches:
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(known, part.column(at))], [*part.schema.names, *names])
 
-def _decoded(known: Vocabulary, column: pa.Array) -> pa.Array:
-    return pa.array([known.decode(r or ()) for r in column.to_pylist()], pa.string())
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *targets]))

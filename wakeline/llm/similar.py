@@ -29,6 +29,7 @@ from wakeline.session import small_side
 BLOCK = 256
 TILE = 512
 BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
 
 
 class Measure(ABC):
@@ -73,7 +74,18 @@ class Measure(ABC):
         return p - 5 * (p * (1 - p) / m) ** 0.5
 
     def distinct_sets(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        """(sorted distinct elements of each text, signatures)."""
+        """(sorted distinct elements of each text, signatures), a slice of the texts at a time."""
+        sets, signatures, begin, size = [], [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= SLICE_BYTES or i == len(texts) - 1:
+                own, table = self._slice(texts[begin : i + 1])
+                sets += own
+                signatures.append(table)
+                begin, size = i + 1, 0
+        return sets, np.concatenate(signatures) if signatures else np.empty((0, self.bands * self.rows), np.uint32)
+
+    def _slice(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         elements, owner = self.sets(texts)
         signatures = self.signatures(elements, owner, len(texts))
         order = np.lexsort((elements, owner))

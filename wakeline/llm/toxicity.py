@@ -70,7 +70,7 @@ def folded(text: str) -> list[str]:
 
 class _Folds(dict):
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = out = folded_word(word)
         return out
@@ -132,13 +132,13 @@ class Scorer:
 
 
 def _counted(rows: DataFrame, make) -> DataFrame:
-    """(term, toxic, clean): labelled documents with each term, pre-aggregated by block."""
+    """(term, toxic, clean): labelled folded documents with each term, pre-aggregated by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, 0):
             counts: dict[str, list[int]] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for term in make(folded(text or "")):
+                for term in make(text.split(" ") if text else []):
                     counts.setdefault(term, [0, 0])[label] += 1
             columns = [pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (1, 0))]
             yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
@@ -147,9 +147,16 @@ def _counted(rows: DataFrame, make) -> DataFrame:
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, 0):
+        texts = [" ".join(folded(t or "")) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], ["text", "label"])
+
+
 def learn(labelled: DataFrame, max_entries: int = 20_000, min_rows: int = 3) -> Scorer:
     """Lexicon, exceptions and curve from rows of (text, label 0 or 1)."""
-    rows = stored(labelled.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label")), "labelled")
+    rows = labelled.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
+    rows = stored(rows.mapInArrow(_folded_rows, "text string, label int"), "labelled")
     total = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.coalesce(F.sum(1 - F.col("label")), F.lit(0)).alias("clean")).first()
     if not total.toxic or not total.clean:
         return Scorer({}, {}, 1.0, -20.0)
@@ -176,7 +183,8 @@ def _fitted(rows: DataFrame, lexicon: dict, exceptions: dict) -> Scorer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*pieces.value, 1.0, 0.0)
         for batch in blocks(batches, 0):
-            raw = [max(-50.0, min(50.0, round(own.raw(folded(t or "")), 1))) for t in batch.column(0).to_pylist()]
+            words = [t.split(" ") if t else [] for t in batch.column(0).to_pylist()]
+            raw = [max(-50.0, min(50.0, round(own.raw(w), 1))) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(1)], ["raw", "label"])
 
     # At most 1001 rounded scores of two labels.
@@ -196,7 +204,7 @@ def _fitted(rows: DataFrame, lexicon: dict, exceptions: dict) -> Scorer:
     return scorer
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> DataFrame:
     """(text, label) of labelled documents outside the held-out fifth, at most ``max_labelled``."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     marked = marked.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
