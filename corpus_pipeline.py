@@ -42,8 +42,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens and decoded text."""
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe.decode(encoded, path).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, decoded="decoded").drop("text")
+    return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [
