@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wakeline.llm.words import blocks
+from wakeline.llm.words import blocks, in_batches
 
 LONG_WORD = 64
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 NO_RANK = 1 << 60
 #: The pre-tokenizer's pattern (a fixed value of the file format).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -209,4 +209,4 @@ def _mapped(df: DataFrame, tokenizer: str, source: str, targets: list[T.StructFi
             if part.num_rows:
                 yield pa.RecordBatch.from_arrays([*part.columns, *work(known, part.column(at))], [*part.schema.names, *names])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *targets]))
+    return in_batches(kept, run, T.StructType([*kept.schema.fields, *targets]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.storage import stored
-from wakeline.llm.words import blocks, utf8
+from wakeline.llm.words import blocks, in_batches, utf8
 
 WINDOW = 13
 PART_BYTES = 16 << 20
@@ -92,7 +92,7 @@ def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["item", "words"])
 
     rows = items.select(F.col(id_column).cast("string").alias("item"), F.col(text).alias("text"))
-    return rows.mapInArrow(cut, "item string, words string").distinct()
+    return in_batches(rows, cut, "item string, words string").distinct()
 
 
 def contamination(
@@ -143,7 +143,7 @@ def _searched(docs: DataFrame, patterns, at: int, first: int) -> DataFrame:
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), spans_type, pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:first], *columns], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

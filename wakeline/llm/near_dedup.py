@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from wakeline.llm.similar import Measure, edges, similar_components
 from wakeline.llm.storage import stored
-from wakeline.llm.words import blocks, hashed, mixed, shingles, signed, step, utf8
+from wakeline.llm.words import blocks, hashed, in_batches, mixed, shingles, signed, step, utf8
 from wakeline.session import small_side
 
 FRACTION_BITS = 24
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, measure: Measure, id_column: str, text: str) -> Da
             yield pa.RecordBatch.from_arrays(columns, ["id", "same", "n_shingles", "bands"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, same binary, n_shingles long, bands array<long>")
+    return in_batches(rows, run, "id long, same binary, n_shingles long, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:

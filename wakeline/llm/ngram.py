@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.storage import stored
-from wakeline.llm.words import blocks, utf8
+from wakeline.llm.words import blocks, in_batches, utf8
 
 STATE_SHARE = 1e-5
 ARC_SHARE = 1e-6
@@ -60,7 +60,7 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
             n = np.bincount(np.concatenate(counts), minlength=len(ids)) if counts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_batches(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(texts: DataFrame, states) -> DataFrame:
@@ -77,7 +77,7 @@ def pair_counts(texts: DataFrame, states) -> DataFrame:
             keys, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return in_batches(texts, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 class _Ids(dict):
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *rest], ["row", "id", "n_tokens", "frequent", "base", "total", "words", "counts"])
 
     fields = "row long, id long, n_tokens long, frequent long, base double, total double, words array<binary>, counts array<int>"
-    walked = stored(rows.mapInArrow(run, fields), "walked")
+    walked = stored(in_batches(rows, run, fields), "walked")
     denominator = model.tokens + 0.5 * (model.types + 1)
     rare = walked.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
     # Words that are states never reach the join.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.storage import stored
-from wakeline.llm.words import blocks, hashed, run_starts, runs, utf8
+from wakeline.llm.words import blocks, hashed, in_batches, run_starts, runs, utf8
 
 SHORTEST = 6
 NULL_ID = np.int64(2**63 - 1)
@@ -75,7 +75,7 @@ def chunks(docs: DataFrame, id_column: str, text: str, min_words: int) -> DataFr
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "windows", "payload"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, CHUNK)
+    return in_batches(rows, run, CHUNK)
 
 
 class Chunk:
@@ -158,7 +158,7 @@ def _requests(rows: DataFrame, names: list[str], level: int, lengths: list[int],
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "keys", "low"])
 
-    return rows.select("chunk", "payload", *names).mapInArrow(run, "bucket int, chunk long, keys binary, low binary")
+    return in_batches(rows.select("chunk", "payload", *names), run, "bucket int, chunk long, keys binary, low binary")
 
 
 def _answers(requests: DataFrame, last: bool) -> DataFrame:
@@ -219,9 +219,8 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
                 marks = chunk.removed(_bits(row[names[-1]]))
                 yield _result(chunk, marks, id_column)
 
-    return rows.select("chunk", "payload", *names).mapInArrow(
-        run, f"`{id_column}` long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
-    )
+    fields = f"`{id_column}` long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
+    return in_batches(rows.select("chunk", "payload", *names), run, fields)
 
 
 def _result(chunk: Chunk, marks: np.ndarray, id_column: str) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.storage import stored
-from wakeline.llm.words import GOLDEN, mixed, utf8
+from wakeline.llm.words import GOLDEN, in_batches, mixed, utf8
 from wakeline.models.components import components
 from wakeline.session import small_side
 
@@ -188,7 +188,7 @@ def similar_components(items: DataFrame, candidate_edges: DataFrame, measure: Me
             ]
             yield pa.RecordBatch.from_arrays(columns, ["hub", "large", "id", "root", "far"])
 
-    found = stored(texts.mapInArrow(run, "hub long, large boolean, id long, root long, far double"), "found")
+    found = stored(in_batches(texts, run, "hub long, large boolean, id long, root long, far double"), "found")
     small = found.where("not large and id <> root").select("id", "root")
     small = small.unionByName(small.select(F.col("root").alias("id"), "root").distinct())
     if large.isEmpty():
@@ -243,7 +243,7 @@ def _settled(items: DataFrame, found: DataFrame, measure: Measure) -> DataFrame:
             links = [(u, v) for u, v in links if u != v]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    more = stored(texts.mapInArrow(run, "u long, v long"), "links")
+    more = stored(in_batches(texts, run, "u long, v long"), "links")
     every = links.unionByName(more)
     final = components(every).select(F.col("node").alias("id"), "root")
     return members.select("id").join(final, "id", "left").select("id", F.coalesce("root", "id").alias("root"))

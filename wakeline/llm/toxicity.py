@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wakeline.llm.storage import stored
-from wakeline.llm.words import blocks
+from wakeline.llm.words import blocks, in_batches
 
 #: Letters of other scripts that look like a Latin letter.
 HOMOGLYPHS = dict(zip(
@@ -70,7 +70,7 @@ def folded(text: str) -> list[str]:
 
 class _Folds(dict):
     def __missing__(self, word):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out = folded_word(word)
         return out
@@ -143,7 +143,7 @@ def _counted(rows: DataFrame, make) -> DataFrame:
             columns = [pa.array(list(counts), pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (1, 0))]
             yield pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
 
-    found = rows.mapInArrow(run, "term string, toxic long, clean long")
+    found = in_batches(rows, run, "term string, toxic long, clean long")
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -156,7 +156,7 @@ def _folded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, max_entries: int = 20_000, min_rows: int = 3) -> Scorer:
     """Lexicon, exceptions and curve from rows of (text, label 0 or 1)."""
     rows = labelled.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
-    rows = stored(rows.mapInArrow(_folded_rows, "text string, label int"), "labelled")
+    rows = stored(in_batches(rows, _folded_rows, "text string, label int"), "labelled")
     total = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("toxic"), F.coalesce(F.sum(1 - F.col("label")), F.lit(0)).alias("clean")).first()
     if not total.toxic or not total.clean:
         return Scorer({}, {}, 1.0, -20.0)
@@ -188,7 +188,7 @@ def _fitted(rows: DataFrame, lexicon: dict, exceptions: dict) -> Scorer:
             yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(1)], ["raw", "label"])
 
     # At most 1001 rounded scores of two labels.
-    counts = rows.mapInArrow(run, "raw double, label int").groupBy("raw", "label").count().collect()
+    counts = in_batches(rows, run, "raw double, label int").groupBy("raw", "label").count().collect()
     x, y, n = (np.array([r[i] for r in counts], float) for i in range(3))
     design = np.stack([x, np.ones_like(x)], 1)
     theta, ridge = np.zeros(2), np.array([1e-2, 1e-4])
@@ -232,4 +232,4 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", output: str = "sc
             scores = [own.score(folded(t or "")) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, output])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(output, T.DoubleType(), False)]))
+    return in_batches(kept, run, T.StructType([*kept.schema.fields, T.StructField(output, T.DoubleType(), False)]))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm.storage import shared_path, stored
+from wakeline.llm.words import in_batches
 from wakeline.session import small_side
 
 REVISIT_BYTES = 100
@@ -112,7 +113,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.mapInArrow(run, RECORD)
+    return in_batches(files, run, RECORD)
 
 
 class _Inflated(io.RawIOBase):

@@ -9,13 +9,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ROLL = np.uint64(0x9E3779B97F4A7C55)
 
 
+def in_batches(df: DataFrame, work, schema) -> DataFrame:
+    """mapInArrow with small batches: what a Python worker holds at once follows BATCH_BYTES.
+
+    The limit is a session setting without a per-operator form; a smaller one of the session stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "-1").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice hold about ``limit`` bytes, one row at least."""
     for batch in batches:
