@@ -24,8 +24,8 @@ def in_batches(df: DataFrame, work, schema) -> DataFrame:
     The limit is a session setting without a per-operator form; a smaller one of the session stays.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(key, "-1").rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # another unit is a larger one
         conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(work, schema)
 
