@@ -3,6 +3,7 @@
 import math
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -53,6 +54,41 @@ def test_arcs_of_every_state_and_its_failure_sum_to_one(spark):
         assert total == pytest.approx(1)
 
 
+@pytest.mark.parametrize("bucket", [1_000_000, 40])
+def test_every_pair_counts_however_rare(spark, monkeypatch, bucket):
+    """Scores equal the plain bigram model over all pairs, those seen once included."""
+    monkeypatch.setattr(ngram, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(ngram, "COUNT_BYTES", 400)
+    r = random.Random(7)
+    word = lambda: f"w{int(r.paretovariate(0.5)) % 300}"
+    texts = [" ".join(word() for _ in range(r.randint(0, 40))) for _ in range(120)] + ["once upon", None]
+    train = [t for i, t in enumerate(texts) if i % 5]
+    split = [[b"", *ngram.tokens((t or "").encode())] for t in texts]
+    learnt = [s for i, s in enumerate(split) if i % 5]
+    n = Counter(w for s in learnt for w in s[1:])
+    pairs = Counter(p for s in learnt for p in zip(s, s[1:]))
+    followers = Counter(a for a, _ in pairs)
+    tokens, types = sum(n.values()), len(n)
+
+    def plain(s):
+        total = 0
+        for a, b in zip(s, s[1:]):
+            single = (n[b] + 0.5) / (tokens + 0.5 * (types + 1))
+            p = (max(pairs[a, b] - 0.75, 0) + 0.75 * followers[a] * single) / n[a] if n[a] else single
+            total += math.log10(p)
+        return total
+
+    assert min(pairs.values()) == 1
+    model = ngram.learn(spark.createDataFrame([(t,) for t in train], "text string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    both = [ngram.score(docs, model), ngram.score(docs, model, trained=docs.doc_id % 5 != 0)]
+    for found in both:
+        got = {x.doc_id: x.score for x in found.collect()}
+        assert len(got) == len(texts)
+        for i, s in enumerate(split):
+            assert got[i] == pytest.approx(plain(s), rel=1e-9)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in QUERIES["op2_lm_score"](spark, SMALL).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)

@@ -1,18 +1,19 @@
-"""A smoothed n-gram model as a weighted backoff automaton.
+"""A smoothed bigram model over all words and all neighbouring pairs of the training texts.
 
 Tokens are words and one end per text. Unigrams are smoothed by adding a half to every count, with
-one further type for all unknown words. States are the start of a text and every word with at
-least ``STATE_SHARE`` of the training tokens; a state has an arc for each following frequent word
-(or end) with at least ``ARC_SHARE`` of the tokens and two occurrences, weighted by absolute
-discounting. The mass left over is the weight of the state's failure arc to the root, whose arcs
-are the unigrams. For each state the arcs and the failure mass sum to one.
+one further type for all unknown words. A word follows another, or the start, by absolute discounting:
+every pair seen, however rare, keeps its count less ``DISCOUNT``, and the mass taken off goes to the
+unigrams. A word never trained on passes all its mass to them. No pair and no word is left out, so what
+is counted grows with the corpus.
 
-Both shares are relative, so there are at most 1 / STATE_SHARE states and 1 / ARC_SHARE arcs
-whatever the corpus size: that proves the bound of what is broadcast. All training tokens are
-counted. Words that are no states have no bound; a text's traversal leaves the root on them
-and emits them, and their unigram weights are joined from the distributed count table.
+Pairs meet their counts by block: a block of texts sends each of its distinct pairs once, with the
+times its training texts hold it, to the bucket of the pair's first word. The bucket adds up the counts of all
+blocks and answers each block for its own pairs. As every token but the end is also the first word of a pair,
+and the end is as frequent as the start, the answers hold the unigram counts as well. Buckets take about
+``BUCKET_TOKENS`` tokens at any corpus size. A word more frequent than that is heavy: its pairs are dealt over
+all buckets, and its count and number of followers, at most one pair of numbers a bucket, are broadcast.
 
-One left-to-right traversal per text carries the state and adds log10 probabilities.
+Words stand for themselves by 64-bit hashes, the followers of a word by 48 bits of theirs.
 
 Defined results: null and empty texts consist of the end alone; without training texts each token
 has the uniform probability over nothing but the unknown type, 1; repeated rows are texts of their
@@ -21,20 +22,25 @@ own in training and each get a row; other columns pass no data.
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.storage import stored
-from wakeline.llm.words import blocks, in_batches, utf8
+from wakeline.llm.words import _Hashes, blocks, in_batches, mixed, utf8
 
 STATE_SHARE = 1e-5
 ARC_SHARE = 1e-6
 DISCOUNT = 0.75
 END = b""
 COUNT_BYTES = 16 << 20
+BUCKET_TOKENS = 1_000_000
+LEAST_BUCKETS = 16
+FOLLOWER_BITS = np.uint64((1 << 48) - 1)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -86,14 +92,14 @@ class _Ids(dict):
         return n
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Texts in lists of about COUNT_BYTES, over batch borders."""
+def _grouped(batches: Iterator[pa.RecordBatch], limit: int = COUNT_BYTES) -> Iterator[list[bytes]]:
+    """Texts in lists of about ``limit`` bytes, over batch borders."""
     group, size = [], 0
     for batch in blocks(batches, 0):
         for raw in utf8(batch.column(0)):
             group.append(raw)
             size += len(raw)
-        if size >= COUNT_BYTES:
+        if size >= limit:
             yield group
             group, size = [], 0
     if group:
@@ -127,80 +133,235 @@ class Automaton:
 
 
 class Model:
-    """Counts of all training words as a table, and the bounded automaton."""
-
-    def __init__(self, counts: DataFrame, tokens_: int, types: int, automaton: Automaton):
-        self.counts, self.tokens, self.types, self.automaton = counts, tokens_, types, automaton
+    """Counts of all training words as a table, the training texts, and what is known of heavy words."""
+
+    def __init__(self, texts: DataFrame, counts: DataFrame, tokens_: int, types: int, buckets: int, heavy: dict[int, tuple[int, int]]):
+        self.texts, self.counts, self.tokens, self.types, self.buckets, self.heavy = texts, counts, tokens_, types, buckets, heavy
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        """The frequent part of the model in memory, for use outside Spark; ``score`` does not need it.
+
+        Words of a share of STATE_SHARE and pairs of ARC_SHARE: the whole model where these are below one token.
+        """
+        n, least = self.tokens, max(1, STATE_SHARE * self.tokens)
+        # Bounded: at most 1 / STATE_SHARE words reach that share.
+        frequent = self.counts.where((F.col("n") >= least) | (F.length("word") == 0)).select("word", "n").collect()
+        frequent.sort(key=lambda r: (-r.n, bytes(r.word)))
+        states = {bytes(r.word): i + 1 for i, r in enumerate(frequent)}
+        known = [0, *(r.n for r in frequent)]
+        denominator = n + 0.5 * (self.types + 1)
+        unigram = [0.0, *(math.log10((r.n + 0.5) / denominator) for r in frequent)]
+        shared = self.texts.sparkSession.sparkContext.broadcast(states)
+        pairs = pair_counts(self.texts, shared).where(F.col("n") >= max(1, ARC_SHARE * n)).collect()  # at most 1 / ARC_SHARE
+        starts = known[states[END]] if END in states else 0
+        seen = [starts, *known[1:]]
+        mass = [1.0] * len(known)
+        for r in pairs:
+            mass[r.pair >> 32] -= (r.n - DISCOUNT) / seen[r.pair >> 32]
+        failure = [math.log10(max(m, 1e-9)) for m in mass]
+        arcs = {}
+        for r in pairs:
+            state, following = r.pair >> 32, r.pair & 0xFFFFFFFF
+            p = (r.n - DISCOUNT) / seen[state] + mass[state] * 10 ** unigram[following]
+            arcs[r.pair] = math.log10(p)
+        # The last entry is the root itself (state -1): no failure arc, weight 0.
+        return Automaton(states, unigram, known, arcs, [*failure, 0.0])
 
 
 def learn(texts: DataFrame) -> Model:
     """Learn from the rows of a table whose single column holds texts."""
     counts = stored(unigram_counts(texts), "unigrams")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, STATE_SHARE * n)
-    # Bounded: at most 1 / STATE_SHARE words reach that share.
-    frequent = counts.where((F.col("n") >= least) | (F.length("word") == 0)).select("word", "n").collect()
-    frequent.sort(key=lambda r: (-r.n, bytes(r.word)))
-    states = {bytes(r.word): i + 1 for i, r in enumerate(frequent)}
-    known = [0, *(r.n for r in frequent)]
-    denominator = n + 0.5 * (v + 1)
-    unigram = [0.0, *(math.log10((r.n + 0.5) / denominator) for r in frequent)]
-    shared = texts.sparkSession.sparkContext.broadcast(states)
-    pairs = pair_counts(texts, shared).where(F.col("n") >= max(2, ARC_SHARE * n)).collect()  # at most 1 / ARC_SHARE
-    starts = known[states[END]] if END in states else 0
-    seen = [starts, *known[1:]]
-    mass = [1.0] * len(known)
-    for r in pairs:
-        mass[r.pair >> 32] -= (r.n - DISCOUNT) / seen[r.pair >> 32]
-    failure = [math.log10(max(m, 1e-9)) for m in mass]
-    arcs = {}
-    for r in pairs:
-        state, following = r.pair >> 32, r.pair & 0xFFFFFFFF
-        p = (r.n - DISCOUNT) / seen[state] + mass[state] * 10 ** unigram[following]
-        arcs[r.pair] = math.log10(p)
-    # The last entry is the root itself (state -1): no failure arc, weight 0.
-    return Model(counts, n, v, Automaton(states, unigram, known, arcs, [*failure, 0.0]))
-
-
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_tokens, n_known, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.automaton)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    # The row number tells repeated identifiers apart; it is stored before anything depends on it.
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    buckets = max(LEAST_BUCKETS, -(-n // BUCKET_TOKENS))
+    heavy = counts.where(F.col("n") * buckets > n).collect()  # fewer than buckets
+    followers = {r.word: r.followers for r in _followers(texts, [bytes(r.word) for r in heavy]).collect()} if heavy else {}
+    return Model(texts, counts, n, v, buckets, {h: (r.n, followers[h - (h >> 63 << 64)]) for r in heavy for h in _hashes([bytes(r.word)]).tolist()})
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    table = _Hashes()
+    for word in words:
+        table[word]
+    return np.array(table.values_, np.uint64)
+
+
+def _followers(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """(word as signed hash, followers): the number of distinct words behind each of a few words."""
+    wanted = np.sort(_hashes(words))
+    limit = COUNT_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, limit):
+            words, sequence, lengths = _numbered(group)
+            first, second = _neighbours(sequence, lengths)
+            chosen = np.isin(words, wanted)[first]
+            pairs = np.unique((first[chosen] << 32) | second[chosen])
+            columns = [pa.array(words[pairs >> 32].view(np.int64)), pa.array((words[pairs & 0xFFFFFFFF] & FOLLOWER_BITS).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "follower"])
+
+    return in_batches(texts, run, "word long, follower long").distinct().groupBy("word").agg(F.count("*").alias("followers"))
+
+
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each distinct word, the texts as word numbers with an end before and behind, their lengths)."""
+    table = _Hashes()
+    at = table.__getitem__
+    parts = [np.array([at(END), *map(at, tokens(raw))], np.int64) for raw in texts]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    return np.array(table.values_, np.uint64), np.concatenate(parts), lengths
+
+
+def _neighbours(sequence: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, next word) at each place that is not the last of its text."""
+    inside = np.ones(len(sequence), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    at = np.flatnonzero(inside)
+    return sequence[at], sequence[at + 1]
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    raw = b"".join(a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _requests(rows: DataFrame, buckets: int, heavy: list[int]) -> DataFrame:
+    """Of (id, text, trains, asks): each block's pairs by bucket, and the block's own texts under a negative key."""
+    dealt, limit = np.array(sorted(heavy), np.uint64), COUNT_BYTES
+
+    def block(number: int, ids: list, texts: list[bytes], trains: list[bool], asks: list[bool]) -> pa.RecordBatch:
+        words, sequence, lengths = _numbered(texts)
+        first, second = _neighbours(sequence, lengths)
+        pairs, place = np.unique((first << 32) | second, return_inverse=True)
+        times = np.bincount(place[np.repeat(np.array(trains, bool), lengths - 1)], minlength=len(pairs))
+        first, follower = pairs >> 32, words[pairs & 0xFFFFFFFF] & FOLLOWER_BITS
+        own = words[first]
+        bucket = mixed(np.where(np.isin(words, dealt)[first], own ^ mixed(follower), own)) % np.uint64(buckets)
+        order = np.lexsort((first, bucket))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        bucket, own, follower, times = bucket[order].astype(np.int64), own[order], follower[order], times[order]
+        starts = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1]))))
+        runs = np.diff(np.append(starts, len(own)))
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        of_runs = np.searchsorted(starts, cuts)
+        six = follower.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        out = []
+        for i in range(len(cuts) - 1):
+            a, b, c, d = cuts[i], cuts[i + 1], of_runs[i], of_runs[i + 1]
+            key = int(bucket[a])
+            out.append((key, number, key, own[starts[c:d]].tobytes(), six[a:b].tobytes(), _packed(runs[c:d].astype(np.uint32), times[a:b].astype(np.uint32))))
+        asking = np.array(asks, bool)
+        if asking.any():
+            known = [i for i, asks_ in zip(ids, asks) if asks_]
+            about = np.array([i or 0 for i in known], np.int64), np.array([i is None for i in known], np.int64), (lengths - 1)[asking]
+            out.append((-1 - number, number, -1, _packed(*about), _packed(rank[place[np.repeat(asking, lengths - 1)]]), None))
+        types = pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["key", "block", "bucket", "a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in blocks(batches, 2):
-            out, words, counts = [], [], []
-            for raw in utf8(batch.column(2)):
-                text = tokens(raw)
-                total, base, others = own.traverse(text)
-                n = sum(others.values())
-                out.append((len(text), len(text) - n, base, total))
-                words.append(list(others))
-                counts.append(list(others.values()))
-            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-            rest = [pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *rest], ["row", "id", "n_tokens", "frequent", "base", "total", "words", "counts"])
-
-    fields = "row long, id long, n_tokens long, frequent long, base double, total double, words array<binary>, counts array<int>"
-    walked = stored(in_batches(rows, run, fields), "walked")
-    denominator = model.tokens + 0.5 * (model.types + 1)
-    rare = walked.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
-    # Words that are states never reach the join.
-    others = model.counts.where(F.col("n") < max(2, STATE_SHARE * model.tokens)).where(F.length("word") > 0)
-    joined = rare.join(others, "word", "left")
-    weight = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(denominator))
-    sums = joined.groupBy("row").agg(
-        F.sum(F.col("times") * weight).alias("rest"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"),
-    )
-    whole = walked.select("row", "id", "n_tokens", "frequent", "base", "total").join(sums, "row", "left")
-    rest = F.coalesce(F.col("rest"), F.lit(0.0))
-    return whole.select(
-        F.col("id").alias(id_column), "n_tokens",
-        (F.col("frequent") + F.coalesce(F.col("seen"), F.lit(0))).alias("n_known"),
-        (F.col("base") + rest).alias("base_score"),
-        (F.col("total") + rest).alias("score"),
-    )
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                held.append(row)
+                size += len(row[1])
+                if size >= limit:
+                    yield block(number, *map(list, zip(*held)))
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield block(number, *map(list, zip(*held)))
+
+    return in_batches(rows, run, "key long, block long, bucket int, a binary, b binary, c binary")
+
+
+def _answers(requests: DataFrame, heavy: dict[int, tuple[int, int]]) -> DataFrame:
+    """(block, bucket, a, b): counts for each block's pairs, in their order; the blocks' own texts pass through."""
+    fields = ["block", "bucket", "a", "b"]
+    shared = requests.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(rows: pa.Table) -> pa.Table:
+        if rows.column("key")[0].as_py() < 0:
+            return rows.select(fields)
+        own = [np.frombuffer(x, np.uint64) for x in rows.column("a").to_pylist()]
+        six = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in rows.column("b").to_pylist()]
+        small = [np.frombuffer(_unpacked(x), np.uint32).astype(np.int64) for x in rows.column("c").to_pylist()]
+        runs = np.concatenate([x[: len(o)] for x, o in zip(small, own)])
+        times = np.concatenate([x[len(o) :] for x, o in zip(small, own)])
+        wide = np.zeros((len(times), 8), np.uint8)
+        wide[:, :6] = np.concatenate(six)
+        follower = wide.view("<u8").ravel()
+        words, which = np.unique(np.concatenate(own), return_inverse=True)
+        first = np.repeat(which, runs)
+        order = np.lexsort((follower, first))
+        a, b = first[order], follower[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        total = np.bincount(group, weights=times).astype(np.int64)
+        count = np.bincount(a[new], weights=total, minlength=len(words)).astype(np.int64)
+        followers = np.bincount(a[new], weights=total > 0, minlength=len(words)).astype(np.int64)
+        for word, (n, types) in shared.value.items():
+            at = int(np.searchsorted(words, np.uint64(word)))
+            if at < len(words) and int(words[at]) == word:
+                count[at], followers[at] = n, types
+        out, r, p = [], 0, 0
+        for o, s in zip(own, six):
+            q, t = r + len(o), p + len(s)
+            out.append(np.array([len(o)], np.int64).tobytes() + _packed(runs[r:q], count[which[r:q]], followers[which[r:q]], total[group[p:t]]))
+            r, p = q, t
+        return pa.table([rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=fields)
+
+    return requests.groupBy("key").applyInArrow(run, "block long, bucket int, a binary, b binary")
+
+
+def _scores(answers: DataFrame, tokens_: int, types: int) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of each text of each block."""
+    denominator = tokens_ + 0.5 * (types + 1)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bucket")
+        names = ["id", "n_tokens", "n_known", "base_score", "score"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        if rows.column("bucket")[0].as_py() >= 0:  # training texts alone
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        a = rows.column("a").to_pylist()
+        ids, none, lengths = np.frombuffer(_unpacked(a[0]), np.int64).reshape(3, -1)
+        place = np.frombuffer(_unpacked(rows.column("b")[0].as_py()), np.int32)
+        parts = ([], [], [], [])
+        for x in a[1:]:
+            numbers, n = np.frombuffer(_unpacked(x[8:]), np.int64), int.from_bytes(x[:8], "little")
+            for part, piece in zip(parts, np.split(numbers, [n, 2 * n, 3 * n])):
+                part.append(piece)
+        runs, count, followers, pair = map(np.concatenate, parts)
+        first = np.repeat(np.arange(len(runs)), runs)[place]
+        seen = count[first].astype(np.float64)
+        # A token is the first word of the next pair; the end counts as often as the start.
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        own = np.roll(seen, -1)
+        own[starts + lengths - 1] = seen[starts]
+        single = (own + 0.5) / denominator
+        kept = np.maximum(pair[place] - DISCOUNT, 0) + DISCOUNT * followers[first] * single
+        p = np.where(seen > 0, kept / np.maximum(seen, 1), single)
+        sums = [np.add.reduceat(x, starts) for x in ((own > 0).astype(np.int64), np.log10(single), np.log10(p))]
+        return pa.table([pa.array(ids, mask=none.astype(bool)), pa.array(lengths), *map(pa.array, sums)], names=names)
+
+    return answers.groupBy("block").applyInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", trained: Column | None = None) -> DataFrame:
+    """One row per document: id, n_tokens, n_known, base_score, score.
+
+    ``trained`` says which of the documents are exactly the model's training texts: these are then read once
+    for both their counts and their scores.
+    """
+    counts_itself = trained if trained is not None else F.lit(False)
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), counts_itself.alias("trains"), F.lit(True).alias("asks"))
+    if trained is None:
+        texts = model.texts.select(F.lit(None).cast("long").alias("id"), F.col(model.texts.columns[0]).alias("text"))
+        rows = rows.unionByName(texts.select("id", "text", F.lit(True).alias("trains"), F.lit(False).alias("asks")))
+    answers = _answers(_requests(rows, model.buckets, list(model.heavy)), model.heavy)
+    return _scores(answers, model.tokens, model.types).withColumnRenamed("id", id_column)

@@ -28,8 +28,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngram.learn(docs.where(~ngram.held_out(F.col("doc_id"))).select("text"))
-    scored = ngram.score(docs, model)
+    trained = ~ngram.held_out(F.col("doc_id"))
+    model = ngram.learn(docs.where(trained).select("text"))
+    scored = ngram.score(docs, model, trained=trained)
     return scored.select(
         "doc_id", ngram.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
