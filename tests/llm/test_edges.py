@@ -197,6 +197,16 @@ def test_warc_of_repeated_rows_and_none(spark):
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_warc_query_returns_a_row_per_page(spark, tmp_path):
+    from wakeline.llm.queries import QUERIES
+
+    rows = [(1, "u", "z" * 200)] * 3 + [(2, "u", "z" * 200)] * 2 + [(None, None, "n")] * 2 + [(3, "v", "once")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in QUERIES["op10_warc"](spark, str(tmp_path)).collect()), key=repr)
+    want = [(1, 200, "response", None)] * 3 + [(2, 200, "revisit", 1)] * 2 + [(3, 4, "response", None)] + [(None, 1, "response", None)] * 2
+    assert got == sorted(want, key=repr)
+
+
 def test_truncated_archive_is_refused():
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parsed(b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 9\r\n\r\nabc"))

@@ -110,7 +110,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    found = warc.round_trip(table(spark, sf_dir, "pages"), every_row=True)
     return found.select(
         "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), "refers_to",

@@ -10,7 +10,7 @@ Assembly joins the three kinds through the concurrent-to identifiers into one ne
 
 Defined results: a null payload is empty; a null page id is written as none and sorts behind all
 others when the first of equal payloads is chosen; rows that repeat page id, URL and payload are one
-capture; line breaks, blanks and control characters of a URL are percent-encoded, a null URL is left out;
+capture, or with ``every_row`` a capture each, told apart by a stored row number in the identifiers of all but the first; line breaks, blanks and control characters of a URL are percent-encoded, a null URL is left out;
 an empty table gives an archive without records and no captures; columns are selected by name.
 """
 
@@ -38,13 +38,34 @@ RECORD = (
 )
 
 
-def record_id(kind: str, page_id: Column, url_digest: Column, payload_digest: Column) -> Column:
-    key = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("none")), url_digest, payload_digest))
+def record_id(kind: str, page_id: Column, url_digest: Column, payload_digest: Column, copy: Column | None = None) -> Column:
+    """``copy`` is the number of a repeated row, null in all others."""
+    parts = [F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("none")), url_digest, payload_digest]
+    key = F.md5(F.concat_ws("|", *parts, *([] if copy is None else [copy.cast("string")])))  # nulls are left out
     cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(key, a, n) for a, n in cuts)), F.lit(">"))
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """The rows with ``copy``: a row number for all but the first of equal page id, URL and payload."""
+    key = ["page", "url_digest", "digest"]
+    plain = rows.withColumn("copy", F.lit(None).cast("long"))
+    repeated = small_side(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), DUPLICATE_GROUPS)
+    if repeated.isEmpty():
+        return plain
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in key]
+    again = rows.alias("r").join(repeated.alias("k"), same, "left_semi")
+    # Stored before anything depends on the numbers.
+    again = stored(again.withColumn("copy", F.monotonically_increasing_id()), "copies")
+    leads = small_side(again.groupBy(*key).agg(F.min("copy").alias("lead")), DUPLICATE_GROUPS)
+    numbered = again.alias("r").join(leads.alias("k"), same).select("r.*", "k.lead")
+    numbered = numbered.withColumn("copy", F.when(F.col("copy") != F.col("lead"), F.col("copy"))).drop("lead")
+    return plain.alias("r").join(repeated.alias("k"), same, "left_anti").unionByName(numbered)
+
+
+def records(
+    pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", every_row: bool = False
+) -> DataFrame:
     """One row per record, its bytes as text without the final empty line."""
     raw = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(
@@ -52,12 +73,13 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
         F.octet_length(raw).cast("long").alias("size"), F.sha2(raw, 256).alias("digest"),
         F.sha2(F.coalesce(F.col(url), F.lit("")), 256).alias("url_digest"),
     )
+    rows = _with_copies(rows) if every_row else rows.withColumn("copy", F.lit(None).cast("long"))
     who = F.struct(F.col("page").isNull().alias("last"), F.col("page"), F.col("url_digest"))
     first = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("other"))
     first = small_side(first.where("first <> other").drop("other"), DUPLICATE_GROUPS)
     rows = rows.join(first, "digest", "left")
     revisit = F.coalesce(~F.col("first").eqNullSafe(who) & F.col("first").isNotNull(), F.lit(False))
-    own = record_id("response", F.col("page"), F.col("url_digest"), F.col("digest"))
+    own = record_id("response", F.col("page"), F.col("url_digest"), F.col("digest"), F.col("copy"))
     earlier = record_id("response", F.col("first.page"), F.col("first.url_digest"), F.col("digest"))
     target = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     host = F.regexp_extract(target, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -74,7 +96,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
     with_ = F.concat(F.lit("WARC-Concurrent-To: "), own)
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     request = record(
-        F.lit("request"), record_id("request", F.col("page"), F.col("url_digest"), F.col("digest")), "application/http; msgtype=request",
+        F.lit("request"), record_id("request", F.col("page"), F.col("url_digest"), F.col("digest"), F.col("copy")), "application/http; msgtype=request",
         F.concat(F.lit("GET "), F.when(path == "", "/").otherwise(F.coalesce(path, F.lit("/"))), F.lit(" HTTP/1.1\r\nHost: "), F.coalesce(host, F.lit("")), F.lit("\r\n\r\n")), with_,
     )
     response = record(
@@ -84,15 +106,15 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payloa
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), earlier)),
     )
     metadata = record(
-        F.lit("metadata"), record_id("metadata", F.col("page"), F.col("url_digest"), F.col("digest")), "application/warc-fields",
+        F.lit("metadata"), record_id("metadata", F.col("page"), F.col("url_digest"), F.col("digest"), F.col("copy")), "application/warc-fields",
         F.concat(F.lit("page-id: "), F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit("\r\npayload-bytes: "), F.col("size").cast("string"), F.lit("\r\n")), with_,
     )
     return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, **columns) -> None:
+def write(pages: DataFrame, path: str, **options) -> None:
     """Write the pages' records below ``path``."""
-    out = records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    out = records(pages, **options).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
     out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -212,10 +234,13 @@ def captures(records: DataFrame) -> DataFrame:
     return joined.select("record_id", "target_uri", F.col("metadata.page_id").alias("page_id"), "response", "request", "metadata")
 
 
-def round_trip(pages: DataFrame, payloads: bool = False) -> DataFrame:
-    """Write the pages, read the archives back and assemble captures, revisits with their response's page."""
+def round_trip(pages: DataFrame, payloads: bool = False, every_row: bool = False) -> DataFrame:
+    """Write the pages, read the archives back and assemble captures, revisits with their response's page.
+
+    With ``every_row``, wholly repeated rows are captures of their own.
+    """
     path = shared_path(pages.sparkSession, "warc")
-    write(pages, path)
+    write(pages, path, every_row=every_row)
     found = stored(captures(stored(read(pages.sparkSession, path, payloads), "records")), "captures")
     originals = found.where("response.type = 'response'").select(F.col("record_id").alias("original"), F.col("page_id").alias("refers_to"))
     revisits = found.where("response.type = 'revisit'").join(originals, F.col("response.refers_to") == F.col("original"), "left").drop("original")
