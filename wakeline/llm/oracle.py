@@ -136,3 +136,39 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(othe
   doc_id = least(doc_id, coalesce(other, doc_id)) as kept
 from documents left join n using (doc_id) left join least_ using (doc_id)
 """
+
+ORACLE["op13_filter_audit"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, coalesce(source, '') as part,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+    min(doc_id) over (partition by coalesce(text, '')) as first_id
+  from documents
+), m as (
+  select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id
+), f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (len(words) < 50)::int + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::int
+      + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+      + 16 * (first_id is not null and (d.doc_id is null or d.doc_id > first_id))::int as fails
+  from d left join m on d.doc_id = m.doc_id
+), g as (
+  select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all
+), l as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as c, unnest([1, 2, 4, 8, 16]) as b
+), o as (
+  select p.c || q.c || r.c || s.c || t.c as filter_order, [p.b, q.b, r.b, s.b, t.b] as bits
+  from l p join l q on p.b <> q.b join l r on r.b not in (p.b, q.b) join l s on s.b not in (p.b, q.b, r.b) join l t on t.b not in (p.b, q.b, r.b, s.b)
+), s as (
+  select filter_order, step, bits[step] as bit, list_sum(bits[1:step]) - bits[step] as prefix from (select *, unnest([1, 2, 3, 4, 5]) as step from o)
+), c as (
+  select part, filter_order, step, bit,
+    sum(case when fails & (prefix | bit) = 0 then n else 0 end) as kept, sum(case when fails & prefix = 0 and fails & bit > 0 then n else 0 end) as removed,
+    sum(case when fails & prefix > 0 and fails & bit > 0 then n else 0 end) as redundant, sum(case when fails = bit then n else 0 end) as unique_fails,
+    sum(case when fails & prefix = 0 and fails & bit > 0 then good else 0 end) as good_lost,
+    sum(case when fails & prefix = 0 and fails & bit > 0 then toxic else 0 end) as toxic_lost
+  from g, (select filter_order, step, bit::int as bit, prefix::int as prefix from s) group by all
+)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+  good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley
+from c
+"""
