@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from wakeline.llm.license_scan import mandatory, parsed
+from wakeline.llm.license_templates import BASE, NOTICES, TEXTS
+
 ORACLE = {}
 
 ORACLE["op4_exact_dedup"] = r"""
@@ -172,3 +175,44 @@ select part, filter_order, step, kept::bigint as kept, removed::bigint as remove
   good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, bit))::bigint as shapley
 from c
 """
+
+
+def template_pattern(parts: list) -> str:
+    """A template as a regular expression over words that are each followed by a space."""
+    out = ""
+    for part in parts:
+        if isinstance(part, bytes):
+            out += part.decode() + " "
+        else:
+            out += f"(?:{template_pattern(part)})?" if isinstance(part, list) else f"(?:[^ ]+ ){{{part[0]},{part[1]}}}"
+    return out
+
+
+def license_sql() -> str:
+    templates = [(label, parsed(markup)) for label, markup in (*BASE, *NOTICES, *TEXTS)]
+    values = ", ".join(f"('{label}', {mandatory(parts)}, ' {template_pattern(parts)}')" for label, parts in templates)
+    phrases = ", ".join(f"('{label}', [{', '.join(repr(w) for w in phrase.split())}])" for label, phrase in BASE)
+    return rf"""
+with d as (
+  select row_number() over () as n, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents
+), b(label, phrase) as (
+  values {phrases}
+), t(label, mandatory, pattern) as (
+  values {values}
+), p as (
+  select n, label, unnest(list_filter(range(0, len(words) - len(phrase) + 1), lambda i: words[i + 1:i + len(phrase)] = phrase)) as place from d, b
+), places as (
+  select n, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from p group by n
+), found as (
+  select n, string_agg(distinct label, ',' order by label) as labels, max(mandatory) as most
+  from (select n, ' ' || array_to_string(words, ' ') || ' ' as joined from d) j, t where regexp_matches(joined, pattern) group by n
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(most::double / (most + 1), 0) as score
+from d left join places using (n) left join found using (n)
+"""
+
+
+ORACLE["op12_license_scan"] = license_sql()
