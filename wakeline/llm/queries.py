@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, near_dedup, ngram, passages, toxicity, url_filter, warc
+from wakeline.llm import bpe, decontaminate, exact_dedup, filter_audit, license_scan, line_dedup, near_dedup, ngram, passages, toxicity, url_filter, warc, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 NEAR_PERCENT = 85
@@ -117,6 +117,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -133,6 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_lm_score, op3_url_lists, op4_exact_dedup, op5_substring_dedup, op6_toxicity,
-        op7_line_dedup, op8_decontamination, op9_near_dedup, op10_warc, op12_license_scan, op13_filter_audit,
+        op7_line_dedup, op8_decontamination, op9_near_dedup, op10_warc, op11_whitening, op12_license_scan, op13_filter_audit,
     )
 }
