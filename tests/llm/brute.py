@@ -1,11 +1,14 @@
 """The operators' results said plainly, for small tables: lists of dicts in, dicts by identifier out."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BENCH_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -170,3 +173,77 @@ def warc(pages):
         revisit = raw in first and first[raw] != p["page_id"]
         out.append((p["page_id"], len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first[raw] if revisit else None))
     return out
+
+
+def whitening(rows, components=32):
+    """rows: (id, list). Vectors of another length than the most frequent are left out by the caller."""
+    kept = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    if not kept:
+        return []
+    x = [[math.floor(64 * float(c)) + 1_000_000 for c in v] for _, v in kept]
+    n, sums = len(x), [sum(c) for c in zip(*x)]
+    centred = np.array([[n * a - s for a, s in zip(v, sums)] for v in x], dtype=object)
+    deviation = [sum(int(c) ** 2 for c in v) for v in centred]
+    away = centred.astype(np.float64) / n
+    values, axes = np.linalg.eigh(away.T @ away / n)
+    values, axes = values[::-1], axes[:, ::-1]
+    out = []
+    for (i, _), d, row in zip(kept, deviation, away @ axes):
+        for k in range(min(components, len(values))):
+            out.append((i, k + 1, n, d, abs(row[k]) / math.sqrt(values[k]) if values[k] > 1e-9 * values[0] else None, values[k] / values.sum()))
+    return out
+
+
+def licenses(docs, base, templates):
+    """Templates as lists of words, ("any", fewest, most) and ("maybe", [...]), tried by backtracking."""
+    def ends(parts, text, at):
+        if not parts:
+            return {at}
+        part, rest = parts[0], parts[1:]
+        if isinstance(part, str):
+            return ends(rest, text, at + 1) if at < len(text) and text[at] == part else set()
+        if part[0] == "maybe":
+            return ends(rest, text, at) | {e for m in ends(part[1], text, at) for e in ends(rest, text, m)}
+        return {e for k in range(part[1], part[2] + 1) if at + k <= len(text) for e in ends(rest, text, at + k)}
+
+    out = []
+    for d in docs:
+        text = BENCH_WORD.findall((d["text"] or "").translate(LOWER))
+        places = [(i, label) for label, parts in base for i in range(len(text)) if ends(parts, text, i)]
+        labels = {label for label, parts in [*base, *templates] if any(ends(parts, text, i) for i in range(len(text)))}
+        most = max((sum(isinstance(p, str) for p in parts) for label, parts in [*base, *templates] if any(ends(parts, text, i) for i in range(len(text)))), default=0)
+        starts = [i for i, _ in places]
+        out.append((d["doc_id"], len(text), len(starts), min(starts, default=None), max(starts, default=None),
+                    ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), most / (most + 1)))
+    return out
+
+
+def audit(docs, labels):
+    """docs with doc_id, text and source; labels: (doc_id, quality, toxic)."""
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    ids = {}
+    for d in docs:
+        ids.setdefault(d["text"] or "", []).append(d["doc_id"])
+    fails, parts = [], sorted({d["source"] or "" for d in docs})
+    for d in docs:
+        text, own = d["text"] or "", d["doc_id"]
+        w = WORD.findall(text)
+        smaller = any(i is not None and (own is None or i < own) for i in ids[text])
+        fails.append({"A": len(w) < 50, "B": 100 * len(set(w)) < 65 * len(w), "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text),
+                      "D": bool(re.search(r"[#$%&*|]", text)), "E": smaller})
+    out = []
+    for part in parts:
+        rows = [(f, d["doc_id"] in good, d["doc_id"] in toxic) for f, d in zip(fails, docs) if (d["source"] or "") == part]
+        steps, total = [], Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = rows
+            for step, name in enumerate(order, 1):
+                gone = [r for r in left if r[0][name]]
+                left = [r for r in left if not r[0][name]]
+                every = sum(r[0][name] for r in rows)
+                unique = sum(r[0][name] and sum(r[0].values()) == 1 for r in rows)
+                total[name] += len(gone)
+                steps.append((part, "".join(order), step, len(left), len(gone), every - len(gone), unique, sum(r[1] for r in gone), sum(r[2] for r in gone), name))
+        out += [(*s[:-1], total[s[-1]]) for s in steps]
+    return out

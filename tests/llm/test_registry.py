@@ -27,9 +27,9 @@ def docs(spark):
     return [r.asDict() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries() and set(ORACLE) <= set(entry.oracle_sql())
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries() and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -62,6 +62,18 @@ def test_lines(spark, docs):
     assert QUERIES["op7_line_dedup"](spark, SMALL).count() == len(docs)
 
 
+def test_whitening(spark):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
+    got = {(r.vec_id, r.component): r for r in QUERIES["op11_whitening"](spark, SMALL).collect()}
+    want = brute.whitening(rows)
+    assert len(got) == len(want) == 32 * len(rows)
+    for vec_id, component, n, deviation, whitened, explained in want:
+        r = got[vec_id, component]
+        assert (r.n, r.deviation, r.deviation_exact) == (n, deviation, str(deviation))
+        assert abs(r.whitened) == pytest.approx(whitened, abs=1e-8) and r.explained == pytest.approx(explained, rel=1e-9)
+    assert {r.identity_error for r in got.values()} == {r.identity_error} and r.identity_error < 1e-12
+
+
 def test_pipeline_equals_brute_force(spark, docs):
     got = corpus_pipeline.run(spark, SMALL).collect()
     source = spark.read.parquet(f"{SMALL}/documents.parquet")
