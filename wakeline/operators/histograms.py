@@ -1,9 +1,14 @@
 """Equal-width histograms and density curves, one per key (normally per year)."""
 
+from math import factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DENSITY_POINTS = 200
+#: Bin width and reach of a kernel in bandwidths, and the order of its expansion. Half a bin is 1/8, so the
+#: first term left out is below 1e-11 of the kernel's height; beyond the reach a kernel is below 1e-17.
+BIN, REACH, ORDER = 0.25, 9.0, 9
 
 
 def _ranges(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -50,7 +55,11 @@ def polar_histogram(df: DataFrame, keys: list[str], degrees: str, bins: int = 36
 def density(df: DataFrame, keys: list[str], value: str, points: int = DENSITY_POINTS) -> DataFrame:
     """Gaussian kernel density on an even grid over [min, max], Scott's bandwidth.
 
-    Equal values are counted before they meet the grid, so the work is (distinct values x points).
+    Values are binned on a grid of a quarter of the bandwidth, and a bin keeps the power sums of its
+    values' distances from its centre. A kernel is expanded around the centre in Hermite polynomials, so
+    a bin acts on a grid point through those few sums and the result is the exact sum to about eleven digits.
+    Only bins are shuffled, at most (range / bandwidth * 4) per key whatever the number of
+    distinct values, and a bin meets only the points within ``REACH`` bandwidths.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
     spread = _ranges(rows, keys, F.col("x")).where(F.col("_std") > 0).select(
@@ -58,15 +67,42 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = DENSITY_PO
         F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_n").alias("n"),
         (F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("bandwidth"),
     )
-    weighted = rows.groupBy(*keys, "x").agg(F.count("*").alias("w"))
-    on_grid = (
-        weighted.join(F.broadcast(spread), keys)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("location", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1))
-    )
-    z = (F.col("location") - F.col("x")) / F.col("bandwidth")
-    summed = on_grid.groupBy(*keys, "point", "location", "n", "bandwidth").agg(
-        F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("total")
-    )
+    group = [*keys, "lo", "hi", "n", "bandwidth"]
+    bins = _binned(rows.join(F.broadcast(spread), keys), group)
+    step = (F.col("hi") - F.col("lo")) / (points - 1)
+    first, last = (F.floor((F.col("centre") + s * REACH * F.col("bandwidth") - F.col("lo")) / step).cast("int") for s in (-1, 1))
+    reached = F.sequence(F.greatest(first, F.lit(0)), F.least(last + 1, F.lit(points - 1)))
+    location = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1)
+    u = (location - F.col("centre")) / F.col("bandwidth")
+    expanded = sum((F.get("powers", F.lit(k)) / factorial(k) * _hermite(k, u) for k in range(1, ORDER + 1)), F.get("powers", F.lit(0)))
+    on_grid = bins.withColumn("point", F.explode(reached)).select(*group, "point", (expanded * F.exp(-0.5 * u * u)).alias("part"))
+    # Points that no bin reaches are there too, with a density of zero.
+    nothing = spread.select(*group, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), F.lit(0.0).alias("part"))
+    summed = on_grid.unionByName(nothing).groupBy(*group, "point").agg(F.sum("part").alias("total"))
     norm = F.col("n") * F.col("bandwidth") * F.sqrt(F.lit(2.0) * F.pi())
-    return summed.select(*keys, "point", "location", (F.col("total") / norm).alias("density"))
+    return summed.select(*keys, "point", location.alias("location"), (F.greatest("total", F.lit(0.0)) / norm).alias("density"))
+
+
+def _binned(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and non-empty bin: its centre and the power sums of (x - centre) / bandwidth."""
+    width = F.col("bandwidth") * BIN
+    rows = rows.withColumn("bin", F.floor((F.col("x") - F.col("lo")) / width))
+    rows = rows.withColumn("centre", F.col("lo") + (F.col("bin") + 0.5) * width)
+    v = (F.col("x") - F.col("centre")) / F.col("bandwidth")
+    rows, powers = rows.withColumn("v1", v), [F.count("*").cast("double")]
+    for k in range(2, ORDER + 1):
+        rows = rows.withColumn(f"v{k}", F.col(f"v{k - 1}") * F.col("v1"))
+    powers += [F.sum(f"v{k}") for k in range(1, ORDER + 1)]
+    return rows.groupBy(*keys, "bin", "centre").agg(F.array(*powers).alias("powers"))
+
+
+def _hermite(order: int, u: Column) -> Column:
+    """The Hermite polynomial of probability theory, by Horner's rule."""
+    before, now = [0], [1]  # coefficients from the highest power down
+    for k in range(order):
+        lower = [0] * (len(now) + 1 - len(before)) + [k * c for c in before]
+        before, now = now, [a - b for a, b in zip([*now, 0], lower)]
+    out = F.lit(float(now[0]))
+    for c in now[1:]:
+        out = out * u + float(c)
+    return out
