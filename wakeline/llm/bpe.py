@@ -27,8 +27,11 @@ from pyspark.sql import types as T
 from wakeline.llm.words import blocks, in_batches
 
 LONG_WORD = 64
-CACHED_WORDS = 100_000
+#: Entries of one cache generation; a worker holds two of words and two of stretches.
+CACHED_WORDS = 150_000
 NO_RANK = 1 << 60
+#: A pair of symbols as one number: left << SHIFT | right.
+SHIFT = 24
 #: The pre-tokenizer's pattern (a fixed value of the file format).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: Separators that str.split() knows beyond the White_Space property.
@@ -47,8 +50,25 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Generations:
+    """A cache that forgets: what was not asked for while a generation filled up goes with the one before."""
+
+    def __init__(self, compute):
+        self.compute, self.young, self.old = compute, {}, {}
+
+    def load(self, keys) -> dict:
+        """A dictionary that holds all the keys, as it stands until the next call."""
+        if len(self.young) > CACHED_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        for key in set(keys).difference(young):
+            found = old.get(key)
+            young[key] = self.compute(key) if found is None else found
+        return young
+
+
 class Vocabulary:
-    """Symbols as token ids, merges as (left id, right id) to (rank, merged id)."""
+    """Symbols as token ids; ranks by pair of symbols, merged symbols by rank."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -56,62 +76,69 @@ class Vocabulary:
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.merges = {}
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, (a, b) in enumerate(model["merges"]):
-            merged = a + b
-            if a in self.ids and b in self.ids and merged in self.ids:
-                self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[merged])
+            merged = self.ids.get(a + b, -1)
+            self.merged.append(merged)
+            if a in self.ids and b in self.ids and merged >= 0:
+                self.ranks[self.ids[a] << SHIFT | self.ids[b]] = rank
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.inner = [self.ids[x] for x in self.letters]
+        self.last = [self.ids[x + self.end] for x in self.letters]
+        self.words = Generations(self.word)
+        self.stretches = Generations(self.stretch)
 
     def symbols(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        letters[-1] += self.end
-        return [self.ids[x] for x in letters]
+        raw = word.encode("utf-8")
+        parts = [self.inner[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
+        return parts
+
+    def word(self, word: str) -> tuple[int, ...]:
+        return tuple(self.merge(self.symbols(word)))
 
     def merge(self, parts: list[int]) -> list[int]:
         """All merges of one word, lowest rank first, leftmost on ties."""
         if len(parts) > LONG_WORD:
             return self._merge_long(parts)
-        find = self.merges.get
-        none = (NO_RANK, -1)
-        pairs = [find(p, none) for p in zip(parts, parts[1:])]
+        find, merged = self.ranks.get, self.merged
+        pairs = [find(a << SHIFT | b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while pairs:
             best = min(pairs)
-            if best[0] == NO_RANK:
+            if best == NO_RANK:
                 break
             i = pairs.index(best)
-            parts[i] = best[1]
+            new = parts[i] = merged[best]
             del parts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = find((parts[i - 1], parts[i]), none)
+                pairs[i - 1] = find(parts[i - 1] << SHIFT | new, NO_RANK)
             if i < len(pairs):
-                pairs[i] = find((parts[i], parts[i + 1]), none)
+                pairs[i] = find(new << SHIFT | parts[i + 1], NO_RANK)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        n, find = len(parts), self.merges.get
+        n, find, merged = len(parts), self.ranks.get, self.merged
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*m, i) for i in range(n - 1) if (m := find((parts[i], parts[i + 1])))]
-        heap = [(rank, i, merged) for rank, merged, i in heap]
+        heap = [(rank, i) for i in range(n - 1) if (rank := find(parts[i] << SHIFT | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            rank, i, merged = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i] if parts[i] is not None else n
-            if j >= n or find((parts[i], parts[j])) != (rank, merged):
+            if j >= n or find(parts[i] << SHIFT | parts[j]) != rank:
                 continue
-            parts[i], parts[j] = merged, None
+            new = parts[i] = merged[rank]
+            parts[j] = None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if m := find((merged, parts[after[i]])):
-                    heapq.heappush(heap, (m[0], i, m[1]))
-            if before[i] >= 0 and (m := find((parts[before[i]], merged))):
-                heapq.heappush(heap, (m[0], before[i], m[1]))
+                if (m := find(new << SHIFT | parts[after[i]])) is not None:
+                    heapq.heappush(heap, (m, i))
+            if before[i] >= 0 and (m := find(parts[before[i]] << SHIFT | new)) is not None:
+                heapq.heappush(heap, (m, before[i]))
         return [p for p in parts if p is not None]
 
     def stretch(self, text: str) -> tuple[int, ...]:
@@ -120,25 +147,16 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text)
         # Letter by letter: a sigma that ends a word is no special case here.
         text = "".join(c.lower() for c in text) if "\u03a3" in text else text.lower()
-        words, out = self.words, ()
-        if len(words) > CACHED_WORDS:
-            words.clear()
-        for word in PIECE.findall(text):
-            found = words.get(word)
-            if found is None:
-                found = words[word] = tuple(self.merge(self.symbols(word)))
-            out += found
-        return out
+        pieces = [text] if text.isascii() and text.isalpha() else PIECE.findall(text)
+        words = self.words.load(pieces)
+        if len(pieces) == 1:
+            return words[pieces[0]]
+        return tuple(chain.from_iterable(map(words.__getitem__, pieces)))
 
     def plain(self, text: str) -> array:
         """Tokens of a text without special tokens; stretches seen before come from the cache."""
-        cache = self.cache
         stretches = SPACE.split(text) if CONTROLS.search(text) else text.split()
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        for s in set(stretches).difference(cache):
-            cache[s] = self.stretch(s)
-        return array("i", chain.from_iterable(map(cache.__getitem__, stretches)))
+        return array("i", chain.from_iterable(map(self.stretches.load(stretches).__getitem__, stretches)))
 
     def encode(self, text: str) -> array:
         out, at = array("i"), 0
