@@ -31,6 +31,57 @@ def test_quantiles_equal_numpy(spark, cells, rounds):
         assert found["b", p] == 3.0
 
 
+@pytest.mark.parametrize("margins", [(0.01, 0.1, 1.0), (1e-9, 1.0), (1.0,)])
+def test_sketched_quantiles_equal_numpy(spark, margins):
+    draw = np.random.default_rng(3)
+    values = {
+        "ties": np.concatenate([np.full(4000, 2.5), draw.normal(0, 1, 7999), [1e9]]),
+        "spread": np.exp(draw.normal(0, 6, 5001)), "flat": np.full(3000, 7.0), "few": np.array([3.0, 1.0, 2.0, 9.0]), "one": np.array([4.0]),
+    }
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("few", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(6)
+    summary = df.groupBy("k").agg(
+        F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), quantiles.sketch(F.col("value")).alias("sketch")).cache()
+    asked = [0.0, 0.25, 0.5, 0.75, 1.0]
+    found = {(r.k, r.probability): r.quantile for r in quantiles.sketched_quantiles(df, summary, ["k"], asked, margins).collect()}
+    assert found == {(k, p): pytest.approx(np.quantile(v, p), rel=1e-12) for k, v in values.items() for p in asked}
+
+
+def test_only_values_around_the_ranks_are_kept(spark, monkeypatch):
+    kept = []
+    stored = quantiles.checkpointed
+    monkeypatch.setattr(quantiles, "checkpointed", lambda df: kept.append(stored(df)) or kept[-1])
+    df = spark.range(60_000).selectExpr("'x' as k", "cast(hash(id) as double) as value").repartition(4)
+    summary = df.groupBy("k").agg(F.count("value").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"), quantiles.sketch(F.col("value")).alias("sketch")).cache()
+    quantiles.sketched_quantiles(df, summary, ["k"], [0.25, 0.5, 0.75]).collect()
+    # Three intervals of a fiftieth of the rows; everything else is one row before each interval.
+    assert len(kept) == 2 and kept[0].count() < 60_000 * 3 * 0.03 and kept[0].where("value is null").count() <= 4
+
+
+def test_density_equals_the_sum_over_all_values(spark):
+    draw = np.random.default_rng(11)
+    values = {2020: np.concatenate([draw.normal(0, 1, 900), [60.0, -55.0], np.full(90, 0.25)]), 2021: draw.uniform(0, 360, 700), 2022: np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [(2020, None), (2023, 5.0), (2023, 5.0), (2024, float("nan"))]
+    df = spark.createDataFrame(rows, "year int, x double").repartition(5)
+    found = {}
+    for r in histograms.density(df, ["year"], "x").collect():
+        found.setdefault(r.year, []).append((r.point, r.location, r.density))
+    assert set(found) == set(values)
+    for year, x in values.items():
+        h = x.std(ddof=1) * len(x) ** -0.2
+        _, at, got = np.array(sorted(found[year])).T
+        want = np.exp(-0.5 * ((at[:, None] - x[None, :]) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+        assert len(at) == 200 and np.abs(got - want).max() < 1e-10 * want.max()
+
+
+def test_density_bins_follow_the_bandwidth_and_not_the_values(spark):
+    df = spark.range(40_000).selectExpr("2020 as year", "cast(hash(id) as double) / 1e6 as x")
+    stats = df.selectExpr("min(x) lo", "max(x) hi", "count(x) n", "stddev_samp(x) * pow(count(x), -0.2) bandwidth").first()
+    rows = df.selectExpr("x", *(f"cast({v!r} as double) {k}" for k, v in stats.asDict().items()))
+    bins = histograms._binned(rows, ["lo", "hi", "n", "bandwidth"])
+    assert bins.count() <= (stats.hi - stats.lo) / stats.bandwidth / histograms.BIN + 1 < 400
+
+
 def test_histogram_edges_and_constant_column(spark):
     df = spark.createDataFrame([(2020, v) for v in (0.0, 1.0, 4.99, 10.0, None)] + [(2021, 7.0)] * 3, "year int, x double")
     rows = {(r.year, r.bin): (r.rows, r.lower, r.upper) for r in histograms.histogram(df, ["year"], "x", 10).collect()}

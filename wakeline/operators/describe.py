@@ -5,7 +5,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators.quantiles import exact_quantiles, value_counts
+from wakeline.operators.quantiles import sketch, sketched_quantiles, value_counts
+from wakeline.session import checkpointed
 
 NUMERIC = ["id", "timestamp", "MMSI", "Latitude", "Longitude", "Distance", "Bearing", "year", "hour"]
 CATEGORICAL = ["Type", "date", "MID", "Country"]
@@ -24,15 +25,10 @@ def _stack(df: DataFrame, keys: list[str], columns: list[str], fields: dict[str,
 def describe_numeric(df: DataFrame, keys: list[str], columns: list[str] = NUMERIC) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles and max of every column."""
     measured = [c for c in columns if c not in keys]
-    aggregates = [
-        f(F.col(c).cast("double")).alias(f"{c}__{name}")
-        for c in measured
-        for name, f in {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}.items()
-    ]
-    moments = _stack(
-        df.groupBy(*keys).agg(*aggregates), keys, measured,
-        {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"},
-    )
+    statistics = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sketch": sketch}
+    aggregates = [f(F.col(c).cast("double")).alias(f"{c}__{name}") for c in measured for name, f in statistics.items()]
+    fields = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double", "sketch": "binary"}
+    summary = checkpointed(_stack(df.groupBy(*keys).agg(*aggregates), keys, measured, fields))
     long = df.select(
         *keys,
         F.inline(F.array(*[
@@ -40,11 +36,11 @@ def describe_numeric(df: DataFrame, keys: list[str], columns: list[str] = NUMERI
         ])),
     )
     group = [*keys, "column_name"]
-    quartiles = exact_quantiles(value_counts(long, group), group, list(QUARTILES.values()))
+    quartiles = sketched_quantiles(long, summary, group, list(QUARTILES.values()))
     wide = quartiles.groupBy(*group).agg(*[
         F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name) for name, p in QUARTILES.items()
     ])
-    return moments.join(wide, group, "left")
+    return summary.drop("sketch").join(F.broadcast(wide), group, "left")
 
 
 def describe_categorical(df: DataFrame, keys: list[str], columns: list[str] = CATEGORICAL) -> DataFrame:
