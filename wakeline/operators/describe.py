@@ -53,12 +53,10 @@ def describe_categorical(df: DataFrame, keys: list[str], columns: list[str] = CA
     )
     group = [*keys, "column_name"]
     # The highest count first, then the smallest value among its holders.
-    counts = value_counts(long, group)
-    highest = counts.groupBy(*group).agg(
-        F.sum("n").alias("count"), F.count("*").alias("unique"), F.max("n").alias("freq")
+    return value_counts(long, group).groupBy(*group).agg(
+        F.sum("n").alias("count"), F.count("*").alias("unique"), F.max("n").alias("freq"),
+        F.min_by("value", F.struct(-F.col("n"), "value")).alias("top"),
     )
-    tops = counts.join(F.broadcast(highest.select(*group, F.col("freq").alias("n"))), [*group, "n"])
-    return highest.join(tops.groupBy(*group).agg(F.min("value").alias("top")), group)
 
 
 def describe(df: DataFrame, keys: list[str] = []) -> DataFrame:

@@ -73,9 +73,11 @@ def density(df: DataFrame, keys: list[str], value: str, points: int = DENSITY_PO
     first, last = (F.floor((F.col("centre") + s * REACH * F.col("bandwidth") - F.col("lo")) / step).cast("int") for s in (-1, 1))
     reached = F.sequence(F.greatest(first, F.lit(0)), F.least(last + 1, F.lit(points - 1)))
     location = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1)
-    u = (location - F.col("centre")) / F.col("bandwidth")
+    # A column of its own, so that the polynomials do not repeat it.
+    met = bins.withColumn("point", F.explode(reached)).withColumn("u", (location - F.col("centre")) / F.col("bandwidth"))
+    u = F.col("u")
     expanded = sum((F.get("powers", F.lit(k)) / factorial(k) * _hermite(k, u) for k in range(1, ORDER + 1)), F.get("powers", F.lit(0)))
-    on_grid = bins.withColumn("point", F.explode(reached)).select(*group, "point", (expanded * F.exp(-0.5 * u * u)).alias("part"))
+    on_grid = met.select(*group, "point", (expanded * F.exp(-0.5 * u * u)).alias("part"))
     # Points that no bin reaches are there too, with a density of zero.
     nothing = spread.select(*group, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"), F.lit(0.0).alias("part"))
     summed = on_grid.unionByName(nothing).groupBy(*group, "point").agg(F.sum("part").alias("total"))
