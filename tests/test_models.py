@@ -1,11 +1,12 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
 from wakeline.constants import FEATURES
-from wakeline.models import classifiers, clustering, components, dbscan, meanshift, neighbours
+from wakeline.models import cells, classifiers, clustering, components, dbscan, meanshift, neighbours
 from wakeline.operators import quality
 from wakeline.operators.pairwise import reduce_pairs
 
@@ -72,6 +73,57 @@ def test_pairs_are_reduced_whole_whatever_the_blocks(spark, blobs):
     assert len(got) == len(blobs) and {r.n for r in got} == {len(blobs)}
 
 
+def test_cell_index_finds_every_box_in_reach():
+    draw = np.random.default_rng(8)
+    points = np.concatenate([draw.normal(0, 1, (700, 3)), np.tile([[0.5, 0.5, 0.5]], (300, 1)), draw.normal(9, 0.01, (100, 3))])
+    index = cells.Cells.of_sample(points[draw.permutation(len(points))[:200]], 32)
+    cell = index.find(points)
+    boxes = [(c, *points[cell == c].min(0), *points[cell == c].max(0)) for c in np.unique(cell)]
+    index.measure(pd.DataFrame(boxes, columns=["cell", "low0", "low1", "low2", "high0", "high1", "high2"]), 3)
+    limit = draw.uniform(0, 2, len(points))
+    row, found = index.within(points, limit)
+    reached = set(zip(row.tolist(), found.tolist()))
+    near = ((points[:, None] - points[None]) ** 2).sum(-1) <= limit[:, None]
+    assert {(i, cell[j]) for i, j in zip(*np.nonzero(near))} <= reached
+    assert len(np.unique(cell)) > 8 and len(reached) < 0.7 * len(points) * len(boxes)
+    assert cells.Cells.of_sample(np.zeros((0, 3)), 8).find(points[:2]).tolist() == [0, 0]
+
+
+def nearest_by_force(x, ids, queries, k):
+    distance = ((queries[:, None] - x[None]) ** 2).sum(-1)
+    return [[ids[j] for j in np.lexsort((ids, row))[:k]] for row in distance]
+
+
+def test_nearest_through_cells_equals_brute_force(spark):
+    draw = np.random.default_rng(2)
+    x = np.concatenate([draw.normal(0, 1, (500, 4)), np.tile([[0.25] * 4], (250, 1)), [[50.0] * 4], draw.integers(0, 3, (150, 4))])
+    rows = frame(spark, x).withColumn("Type", F.lit(30))
+    train, test = rows.where("id % 3 <> 0"), rows.where("id % 3 = 0")
+    ids = np.array([i for i in range(len(x)) if i % 3])
+    asked = [i for i in range(len(x)) if i % 3 == 0]
+    for k in (1, 5):
+        got = {}
+        for r in neighbours.nearest(train, test, NAMES, k, cell_rows=40).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.neighbour))
+        assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == dict(zip(asked, nearest_by_force(x[ids], ids, x[asked], k)))
+
+
+def test_nearest_with_fewer_rows_than_asked_for(spark):
+    rows = frame(spark, [[0, 0, 0, 0], [1, 0, 0, 0], [5, 0, 0, 0]]).withColumn("Type", F.lit(1))
+    got = neighbours.nearest(rows.where("id < 2"), rows, NAMES, 5).collect()
+    assert sorted((r.id, r.neighbour) for r in got) == [(i, j) for i in range(3) for j in range(2)]
+    assert neighbours.nearest(rows.where("id < 0"), rows, NAMES).count() == 0
+
+
+def test_cells_spare_most_distances(spark):
+    rows = spark.range(6000).select("id", *(F.randn(seed=i).alias(c) for i, c in enumerate(NAMES[:2]))).cache()
+    index = cells.build(rows, NAMES[:2], 60)
+    base = cells.with_cell(rows, index, NAMES[:2]).cache()
+    index = cells.measured(index, base, NAMES[:2])
+    wider = cells.other_cells(base.withColumn("limit", F.lit(0.01)), index, NAMES[:2], "limit")
+    assert neighbours.pairs_compared(base, base, wider) < 0.05 * 6000 * 6000
+
+
 def test_knn_equals_brute_force(spark, blobs):
     kinds = [30 if i % 3 else 70 for i in range(len(blobs))]
     rows = frame(spark, blobs, FEATURES).withColumn("Type", F.when(F.col("id") % 3 != 0, 30).otherwise(70))
