@@ -1,6 +1,7 @@
 """SQL for DuckDB that states what each registered query must return, written independently of the library."""
 
 from verification.ais_view import DUCKDB_VIEW
+from verification.shapes import shapes
 from wakeline.constants import (
     ANTENNA_LAT, ANTENNA_LON, EXCLUDED_MMSI, EXCLUDED_MMSI_ML, EXCLUDED_PREFIXES, FEATURES, FOCUS_AREA,
     GAP_THRESHOLDS, HISTOGRAM_BINS, LOCAL_FLAGS, TRACK_SIZE_THRESHOLDS, WEEKDAYS,
@@ -51,6 +52,10 @@ SIZES = f"""{TRACKED}, by_type as (select track_year, MMSI, Type, count(*) as n
 TRACKS = f"""{TRACKED}, tracks as (select * from tracked
  where (track_year, MMSI) in (select (track_year, MMSI) from tracked group by track_year, MMSI having count(*) > 1))"""
 TRAINING = f"training as (select * from ais where {vessel(EXCLUDED_MMSI_ML)} and {AREA})"
+ZONE_EDGES = ", ".join(
+    f"('{name}', {num(x1)}, {num(y1)}, {num(x2)}, {num(y2)})"
+    for name, rings in shapes() for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:])
+)
 KEY = "((id % 1000003) * 48271 + 12345) % 2147483647"
 WEEK = "cast(date_trunc('week', make_timestamp(timestamp * 1000000)) as date)"
 WEEKS = f"""{TRAINING}, weeks as (select 'ALL' as series_key, {WEEK} as week, count(distinct MMSI) as y
@@ -222,6 +227,11 @@ ORACLE: dict[str, str] = {
     "identity_filter_ml": query("", f"select id, MMSI from ais where {vessel(EXCLUDED_MMSI_ML)}"),
     "listed_stations": query("", """select id, MMSI from ais where MMSI not in
  (select MMSI from ais group by MMSI having min(Type) <> max(Type))"""),
+    "zone_of_report": query(f"""edges(zone, x1, y1, x2, y2) as (values {ZONE_EDGES}), tested as (select id, zone,
+ sum(case when (y1 > Latitude) <> (y2 > Latitude) and Longitude < (x2 - x1) * (Latitude - y1) / (y2 - y1) + x1 then 1 else 0 end) as crossed,
+ bool_or((x2 - x1) * (Latitude - y1) - (y2 - y1) * (Longitude - x1) = 0 and Longitude between least(x1, x2) and greatest(x1, x2)
+  and Latitude between least(y1, y2) and greatest(y1, y2)) as touched from ais, edges group by id, zone)""",
+        "select id, zone from tested where crossed % 2 = 1 and not touched"),
     "bearing_sector": query("", """select id, Bearing from ais where Bearing >= 180 and Bearing <= 270
  and Latitude is not null and Longitude is not null"""),
     "usable_classes": query("", "select id, Type from ais where Type not in (11, 19)"),
@@ -316,7 +326,7 @@ ORACLE: dict[str, str] = {
  years as (select unnest([2020, 2021, 2022, 2023, null]) as year)""",
         """select s.stage, cast(y.year as integer) as year, count(f.name) as files from stages s cross join years y left join files f
  on f.stage = s.stage and (y.year is null or contains(f.name, cast(y.year as varchar))) group by all"""),
-    "balanced_sample": query(sample(3000), "select id, Type from sample"),
+    "balanced_sample": query(sample(30000), "select id, Type from sample"),
     "fixed_sample": query(TRAINING, f"select id from training order by {KEY}, id limit 5000"),
     "stratified_split": query(SPLIT, "select id, Type, split from parts"),
     "split_counts": query(SPLIT, "select split, Type, count(*) as rows from parts group by all"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verification.ais_view import ais
+from verification.shapes import shapes
 from wakeline.constants import (
     ANTENNA_LAT, ANTENNA_LON, CLUSTER_FEATURES, EXCLUDED_MMSI_ML, FEATURES, HISTOGRAM_BINS, YEARS,
 )
@@ -14,7 +15,7 @@ from wakeline.functions import geo, identity, time
 from wakeline.models import classifiers, clustering, forecast, stationarity
 from wakeline.models.dbscan import core_points
 from wakeline.operators import (
-    counts, describe, evaluation, histograms, layers, prepare, quality, sampling, scaling, series, tracks,
+    counts, describe, evaluation, histograms, layers, prepare, quality, sampling, scaling, series, tracks, zones,
 )
 from wakeline.plans import classification, clustering as cluster_plan, forecasting
 from wakeline.schema import numeric_columns
@@ -136,7 +137,7 @@ def dataset_census(spark: SparkSession, sf: str) -> DataFrame:
 
 def balanced_sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = classification.training_rows(ais(spark, sf))
-    return sampling.balanced_sample(rows, total=3000).select("id", "Type")
+    return sampling.balanced_sample(rows).select("id", "Type")
 
 
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,6 +228,12 @@ def by_country(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.arima(forecasting.weekly(prepared(spark, sf), key=F.col("Country")))
 
 
+def zone_of_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports in the ports and in the waters around them."""
+    table = spark.createDataFrame([(n, [[list(p) for p in r] for r in rings]) for n, rings in shapes()], "name string, rings array<array<array<double>>>")
+    return zones.in_zones(ais(spark, sf), table).select("id", "zone")
+
+
 def hist(column: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         rows = histograms.histogram(prepared(spark, sf), ["year"], column, HISTOGRAM_BINS[column])
@@ -248,6 +255,7 @@ QUERIES: dict[str, Query] = {
     "identity_filter": lambda s, d: prepare.real_vessels(ais(s, d)).select("id", "MMSI"),
     "identity_filter_ml": lambda s, d: prepare.real_vessels(ais(s, d), EXCLUDED_MMSI_ML).select("id", "MMSI"),
     "listed_stations": listed_stations,
+    "zone_of_report": zone_of_report,
     "bearing_sector": lambda s, d: prepare.in_bearing_sector(ais(s, d)).select("id", "Bearing"),
     "usable_classes": lambda s, d: prepare.usable_classes(ais(s, d)).select("id", "Type"),
     "time_parts": time_parts,

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.constants import LOCAL_FLAGS
+from wakeline.constants import LOCAL_FLAGS, PORT_ZONES
 
 
 def local_flags(spark: SparkSession) -> DataFrame:
@@ -17,10 +17,16 @@ def read_flags(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Port zones (name, ring) from a GeoJSON feature collection of polygons."""
+    """Port zones from a GeoJSON feature collection of polygons: name, outer ring, and all rings with the holes."""
     schema = (
         "features array<struct<properties: struct<name: string>, "
         "geometry: struct<coordinates: array<array<array<double>>>>>>"
     )
     features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("features"))
-    return features.select(F.col("properties.name").alias("name"), F.col("geometry.coordinates")[0].alias("ring"))
+    return features.select(F.col("properties.name").alias("name"), F.col("geometry.coordinates")[0].alias("ring"), F.col("geometry.coordinates").alias("rings"))
+
+
+def port_zones(spark: SparkSession) -> DataFrame:
+    """The ports of the covered sea as zones (name, ring, rings)."""
+    rows = [(name, [list(p) for p in ring], [[list(p) for p in ring]]) for name, ring in PORT_ZONES.items()]
+    return spark.createDataFrame(rows, "name string, ring array<array<double>>, rings array<array<array<double>>>")
