@@ -85,7 +85,7 @@ def contamination(docs, items, window=13):
     for item in items:
         w = words(item["text"])
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            windows.setdefault(tuple(w[i : i + window]), set()).add(str(item["item_id"]))
+            windows.setdefault(tuple(w[i : i + window]), set()).add(None if item["item_id"] is None else str(item["item_id"]))
     lengths = {len(w) for w in windows}
     out = []
     for d in docs:
@@ -95,7 +95,7 @@ def contamination(docs, items, window=13):
                 if (run := tuple(w[i : i + n])) in windows:
                     hit.update(range(i, i + n))
                     found |= windows[run]
-        out.append((d["doc_id"], len(w), len(hit), len(found), sha(",".join(sorted(found))), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append((d["doc_id"], len(w), len(hit), len(found), sha(",".join(sorted(i for i in found if i is not None))), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 
 

@@ -110,10 +110,13 @@ def test_contamination(spark, docs, table):
     frame_ = spark.createDataFrame([(i["item_id"], i["text"], 0) for i in items], "item_id long, text string, doc_id int")
     got = decontaminate.contamination(table, frame_).selectExpr(
         "doc_id", "n_words", "n_hit", "size(items)", "sha2(array_join(items, ','), 256)", "n_hit > 0 and 20 * n_hit >= n_words")
-    want = brute.contamination(docs, [i for i in items if i["item_id"] is not None])
-    null = brute.contamination(docs, [{"item_id": -1, "text": "controls"}])
-    hits_null = {w[0] for w in null if w[2]}
-    assert {r[0]: tuple(r)[1:] for r in got.collect() if r[0] not in hits_null} == {w[0]: w[1:] for w in want if w[0] not in hits_null}
+    want = brute.contamination(docs, items)
+    same(got.collect(), want)
+    # One document meets the item without identifier and others.
+    assert any(w[3] > 1 for w in brute.contamination(docs + [{"doc_id": 900, "text": "controls one two"}], items))
+    both = spark.createDataFrame([(900, "controls one two")], "doc_id long, text string")
+    found = decontaminate.contamination(both, frame_).first()
+    assert (found.n_hit, found["items"]) == (3, ["1", "2", None])
 
 
 def test_contamination_in_parts(table, spark, docs, monkeypatch):

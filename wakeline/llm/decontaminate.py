@@ -11,7 +11,8 @@ most ``PART_BYTES``; normally there is one. With more, each part is one more pas
 documents, whose result is stored before the next.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no
-windows and matches nothing; repeated items each count; repeated documents each get their row; empty
+windows and matches nothing; repeated items each count; items without an identifier are one item whose
+windows hit as any other's, listed last as null; repeated documents each get their row; empty
 tables give no rows or no hits; clashing column names do not matter, inputs are selected by name.
 """
 
@@ -108,7 +109,7 @@ def mark(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
          window: int = WINDOW) -> DataFrame:
     """The documents with n_words, n_hit, spans and items added."""
     patterns = stored(item_windows(items, item_id, item_text, window), "windows")
-    weight = patterns.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item")), F.lit(0))).first()[0]
+    weight = patterns.agg(F.coalesce(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0))), F.lit(0))).first()[0]
     parts = max(1, -(-weight // PART_BYTES))
     fields = ("n_words", "n_hit", "spans", "items")
     kept = docs.drop(*fields)
@@ -139,7 +140,7 @@ def _searched(docs: DataFrame, patterns, at: int, first: int) -> DataFrame:
                         found.update(owners)
                         ranges.append((start, start + table.length))
                 ranges = united(ranges)
-                out.append((len(text), sum(b - a for a, b in ranges), [{"start": a, "end": b} for a, b in ranges], sorted(found)))
+                out.append((len(text), sum(b - a for a, b in ranges), [{"start": a, "end": b} for a, b in ranges], sorted(found, key=lambda i: (i is None, i or ""))))
             columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), spans_type, pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:first], *columns], batch.schema.names)
 
