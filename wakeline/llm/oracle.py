@@ -81,11 +81,12 @@ ORACLE["op10_warc"] = r"""
 with p as (
   select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
 ), f as (
-  select *, min(page_id) over (partition by payload_digest) as first_id from p
+  select *, row_number() over same as place, first_value(page_id) over same as first_id from p
+  window same as (partition by payload_digest order by page_id nulls last)
 )
 select page_id, payload_bytes, payload_digest,
-  case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
+  case when payload_bytes >= 100 and place > 1 then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and place > 1 then first_id end as refers_to
 from f
 """
 

@@ -9,8 +9,10 @@ Reading parses each file as a stream by Content-Length, so payloads may contain
 Assembly joins the three kinds through the concurrent-to identifiers into one nested row per capture.
 
 Defined results: a null payload is empty; a null page id is written as none and sorts behind all
-others when the first of equal payloads is chosen; rows that repeat page id, URL and payload are one
-capture, or with ``every_row`` a capture each, told apart by a stored row number in the identifiers of all but the first; line breaks, blanks and control characters of a URL are percent-encoded, a null URL is left out;
+others when the first of equal payloads is chosen; of equal payloads of at least 100 bytes exactly one row is the
+response, that of the smallest page id and among its rows that of the smallest URL digest, and all others revisit it; rows that
+repeat page id, URL and payload are one capture, or with ``every_row`` a capture each, told apart by a stored row number
+in the identifiers of all but the first; line breaks, blanks and control characters of a URL are percent-encoded, a null URL is left out;
 an empty table gives an archive without records and no captures; columns are selected by name.
 """
 
@@ -74,7 +76,8 @@ def records(
         F.sha2(F.coalesce(F.col(url), F.lit("")), 256).alias("url_digest"),
     )
     rows = _with_copies(rows) if every_row else rows.withColumn("copy", F.lit(None).cast("long"))
-    who = F.struct(F.col("page").isNull().alias("last"), F.col("page"), F.col("url_digest"))
+    # Of rows that share page id, URL and payload the one without a copy number comes first.
+    who = F.struct(F.col("page").isNull().alias("last"), F.col("page"), F.col("url_digest"), F.coalesce("copy", F.lit(-1)).alias("copy"))
     first = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min(who).alias("first"), F.max(who).alias("other"))
     first = small_side(first.where("first <> other").drop("other"), DUPLICATE_GROUPS)
     rows = rows.join(first, "digest", "left")
