@@ -162,15 +162,13 @@ def fuzzy_lines(docs, length=9, percent=80):
 
 
 def warc(pages):
-    first = {}
+    """One response for equal payloads of 100 bytes and more, that of the smallest page id."""
+    first, seen, out = {}, set(), []
     for p in sorted(pages, key=lambda p: (p["page_id"] is None, p["page_id"] or 0)):
         raw = (p["html"] or "").encode()
-        if len(raw) >= 100:
-            first.setdefault(raw, p["page_id"])
-    out = []
-    for p in pages:
-        raw = (p["html"] or "").encode()
-        revisit = raw in first and first[raw] != p["page_id"]
+        revisit = len(raw) >= 100 and raw in seen
+        seen.add(raw)
+        first.setdefault(raw, p["page_id"])
         out.append((p["page_id"], len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first[raw] if revisit else None))
     return out
 

@@ -104,6 +104,18 @@ def test_passages(docs, table):
         same(rows_of(got, "doc_id", "n_words", "n_removed", F.sha2("kept", 256)), brute.passages(docs, words))
 
 
+def test_passages_of_the_largest_identifier_and_of_none(spark):
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = [{"doc_id": i, "text": t} for i, t in ((2**63 - 1, passage + " a"), (None, passage + " b"), (None, "only none " * 12), (None, "only none " * 12), (-(2**63), "x " + passage))]
+    for some in (docs, docs[:-1]):
+        frame_ = spark.createDataFrame([(d["doc_id"], d["text"]) for d in some], "doc_id long, text string")
+        for parts in (1, 4):
+            got = passages.repeated_passages(frame_.repartition(parts))
+            same(rows_of(got, "doc_id", "n_words", "n_removed", F.sha2("kept", 256)), brute.passages(some))
+
+
 def test_contamination(spark, docs, table):
     items = [{"item_id": 1, "text": docs[12]["text"]}, {"item_id": 2, "text": "ONE two!"}, {"item_id": 3, "text": None}, {"item_id": 4, "text": "?!"},
              {"item_id": 1, "text": "one two"}, {"item_id": None, "text": "controls"}, {"item_id": 10, "text": docs[12]["text"].replace(" ", ", ")}]
@@ -200,14 +212,23 @@ def test_warc_of_repeated_rows_and_none(spark):
     assert warc.round_trip(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_warc_query_returns_a_row_per_page(spark, tmp_path):
+def test_warc_query_returns_a_row_per_page_and_one_response_per_payload(spark, tmp_path):
+    import duckdb
+
+    from wakeline.llm.oracle import ORACLE
     from wakeline.llm.queries import QUERIES
 
-    rows = [(1, "u", "z" * 200)] * 3 + [(2, "u", "z" * 200)] * 2 + [(None, None, "n")] * 2 + [(3, "v", "once")]
+    rows = [(1, "u", "z" * 200)] * 3 + [(1, "v", "z" * 200), (2, "u", "z" * 200), (2, "u", "z" * 200), (None, "w", "z" * 200)] + [(None, None, "n")] * 2
+    rows += [(3, "v", "once"), (None, "a", "y" * 100), (None, "b", "y" * 100), (None, "b", "y" * 100), (4, "p", "x" * 100), (5, "p", "x" * 99), (6, "p", "x" * 99)]
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
-    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in QUERIES["op10_warc"](spark, str(tmp_path)).collect()), key=repr)
-    want = [(1, 200, "response", None)] * 3 + [(2, 200, "revisit", 1)] * 2 + [(3, 4, "response", None)] + [(None, 1, "response", None)] * 2
-    assert got == sorted(want, key=repr)
+    got = QUERIES["op10_warc"](spark, str(tmp_path)).collect()
+    want = brute.warc([{"page_id": a, "url": b, "html": c} for a, b, c in rows])
+    same(got, want)
+    pages_ = f"with pages as (select * from '{tmp_path}/pages.parquet/*.parquet'), "
+    cursor = duckdb.execute(ORACLE["op10_warc"].strip().replace("with ", pages_, 1))
+    assert [c[0] for c in cursor.description] == list(got[0].asDict())
+    same(cursor.fetchall(), want)
+    assert sum(t == "response" and n == 200 for _, n, _, t, _ in want) == 1
 
 
 def test_truncated_archive_is_refused():

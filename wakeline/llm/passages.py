@@ -30,9 +30,10 @@ from wakeline.llm.storage import stored
 from wakeline.llm.words import blocks, hashed, in_batches, run_starts, runs, utf8
 
 SHORTEST = 6
+#: Stands for null in chunks that are marked as having no identifiers.
 NULL_ID = np.int64(2**63 - 1)
 BUCKET_WINDOWS = 2_000_000
-CHUNK = "chunk long, windows long, payload binary"
+CHUNK = "chunk long, windows long, nulls boolean, payload binary"
 
 
 def levels(min_words: int) -> list[int]:
@@ -66,13 +67,18 @@ def chunks(docs: DataFrame, id_column: str, text: str, min_words: int) -> DataFr
 
         number = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, 1):
-            ids = np.array([NULL_ID if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            texts = utf8(batch.column(1))
-            # An upper bound, to choose the number of buckets.
-            windows = sum(max(0, len(t) // 2 + 1) for t in texts)
-            columns = [pa.array([number], pa.int64()), pa.array([windows], pa.int64()), pa.array([packed(ids, texts)], pa.binary())]
-            number += 1
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "windows", "payload"])
+            known = pa.compute.is_valid(batch.column(0))
+            # Rows without an identifier are chunks of their own: no number stands for null.
+            for nulls, part in ((False, batch.filter(known)), (True, batch.filter(pa.compute.invert(known)))):
+                if not part.num_rows:
+                    continue
+                ids = np.array([NULL_ID if nulls else i for i in part.column(0).to_pylist()], np.int64)
+                texts = utf8(part.column(1))
+                # An upper bound, to choose the number of buckets.
+                windows = sum(max(0, len(t) // 2 + 1) for t in texts)
+                columns = [pa.array([number], pa.int64()), pa.array([windows], pa.int64()), pa.array([nulls]), pa.array([packed(ids, texts)], pa.binary())]
+                number += 1
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "windows", "nulls", "payload"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     return in_batches(rows, run, CHUNK)
@@ -155,10 +161,11 @@ def _requests(rows: DataFrame, names: list[str], level: int, lengths: list[int],
                     pa.array([b for b, _, _ in out], pa.int32()), pa.array([row["chunk"]] * len(out), pa.int64()),
                     pa.array([squeezed(keys[a:z]) for _, a, z in out], pa.binary()),
                     pa.array([squeezed(low[a:z]) if last else None for _, a, z in out], pa.binary()),
+                    pa.array([row["nulls"]] * len(out), pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "keys", "low"])
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "keys", "low", "nulls"])
 
-    return in_batches(rows.select("chunk", "payload", *names), run, "bucket int, chunk long, keys binary, low binary")
+    return in_batches(rows.select("chunk", "nulls", "payload", *names), run, "bucket int, chunk long, keys binary, low binary, nulls boolean")
 
 
 def _answers(requests: DataFrame, last: bool) -> DataFrame:
@@ -172,7 +179,11 @@ def _answers(requests: DataFrame, last: bool) -> DataFrame:
             low = np.concatenate([restored(v).view(np.int64) for v in table["low"].to_pylist()])
             least = np.full(len(distinct), NULL_ID)
             np.minimum.at(least, inverse, low)
-            bits = least[inverse] < low
+            # A null identifier is larger than any number, the largest included.
+            nulls = np.repeat(table["nulls"].to_numpy(), [len(k) for k in keys])
+            numbered = np.zeros(len(distinct), bool)
+            numbered[inverse[~nulls]] = True
+            bits = (least[inverse] < low) | (nulls & numbered[inverse])
         else:
             bits = counts[inverse] > 1
         ends = np.cumsum([len(k) for k in keys])
@@ -217,13 +228,13 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text: str = "t
             for row in batch.to_pylist():
                 chunk = _replayed(row, lengths, len(lengths) - 1, buckets)
                 marks = chunk.removed(_bits(row[names[-1]]))
-                yield _result(chunk, marks, id_column)
+                yield _result(chunk, marks, id_column, row["nulls"])
 
     fields = f"`{id_column}` long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string"
-    return in_batches(rows.select("chunk", "payload", *names), run, fields)
+    return in_batches(rows.select("chunk", "nulls", "payload", *names), run, fields)
 
 
-def _result(chunk: Chunk, marks: np.ndarray, id_column: str) -> pa.RecordBatch:
+def _result(chunk: Chunk, marks: np.ndarray, id_column: str, nulls: bool) -> pa.RecordBatch:
     spans, kept, removed = [], [], []
     for i, words in enumerate(chunk.texts):
         own = marks[chunk.offsets[i] : chunk.offsets[i + 1]]
@@ -236,7 +247,7 @@ def _result(chunk: Chunk, marks: np.ndarray, id_column: str) -> pa.RecordBatch:
             left += words[at:a]
             at = b
         kept.append(b" ".join(left + words[at:]).decode("utf-8"))
-    ids = pa.array([None if i == NULL_ID else i for i in chunk.ids.tolist()], pa.int64())
+    ids = pa.nulls(len(chunk.ids), pa.int64()) if nulls else pa.array(chunk.ids, pa.int64())
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     return pa.RecordBatch.from_arrays(
         [ids, pa.array(np.diff(chunk.offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
