@@ -1,10 +1,12 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import position
+from wakeline.functions import arrays
 from wakeline.models import forecast, stationarity
 from wakeline.operators import series as ops
 
@@ -44,21 +46,98 @@ def test_adf_on_a_trending_and_a_stationary_series(spark):
     assert kpss["ALL"].p_value > 0.05 and kpss["walk"].p_value < 0.05
 
 
-def test_p_value_at_the_critical_values():
-    assert stationarity.p_value(-2.86154) == pytest.approx(0.05, abs=0.002)
-    assert stationarity.p_value(-3.43035) == pytest.approx(0.01, abs=0.001)
-    assert stationarity.p_value(-30.0) == 0.0 and stationarity.p_value(3.0) == 1.0
+def test_p_value_at_the_critical_values(spark):
+    rows = spark.createDataFrame([(v,) for v in (-2.86154, -3.43035, -30.0, 3.0)], "s double")
+    at = {r.s: r.p for r in rows.select("s", stationarity.p_value(F.col("s")).alias("p")).collect()}
+    assert at[-2.86154] == pytest.approx(0.05, abs=0.002)
+    assert at[-3.43035] == pytest.approx(0.01, abs=0.001)
+    assert at[-30.0] == 0.0 and at[3.0] == 1.0
+
+
+def test_algebra_on_arrays_equals_numpy(spark):
+    draw = np.random.default_rng(4)
+    x, y = draw.normal(3, 1, (5, 40)), draw.normal(0, 1, 40)
+    row = spark.createDataFrame([(x.tolist(), y.tolist())], "x array<array<double>>, y array<double>")
+    got = row.select(arrays.regression(F.col("x"), F.col("y")).alias("b"), arrays.recursive(F.col("y"), F.lit(0.5), 3).alias("r"),
+                     arrays.moving(F.col("y"), F.lit(0.5), 3).alias("m"), arrays.differenced(F.col("y"), 2).alias("d")).first()
+    assert got.b == pytest.approx(np.linalg.lstsq(x.T, y, rcond=None)[0], rel=1e-9)
+    back = np.array(got.r)
+    assert back + 0.5 * np.concatenate((np.zeros(3), back[:-3])) == pytest.approx(y)
+    assert got.m == pytest.approx(y - 0.5 * np.concatenate((np.zeros(3), y[:-3]))) and got.d == pytest.approx(y[2:] - y[:-2])
+    z = [-9.0, -3.0, -1.5, 0.0, 0.5, 4.0]
+    probabilities = spark.createDataFrame([(v,) for v in z], "z double").select("z", arrays.normal_probability(F.col("z")).alias("p")).collect()
+    assert [r.p for r in probabilities] == pytest.approx([0.5 * math.erfc(-v / math.sqrt(2)) for v in z], abs=1e-12)
+    alike = spark.createDataFrame([([[1.0, 1.0], [1.0, 1.0]], [1.0, 2.0])], "x array<array<double>>, y array<double>")
+    assert None in alike.select(arrays.regression(F.col("x"), F.col("y")).alias("b")).first().b
+
+
+def adf_by_force(v, most):
+    """(observations, lags, statistic) by numpy."""
+    step = np.diff(v)
+
+    def fit(lags, start):
+        rows = np.arange(start, len(step))
+        x = np.column_stack([v[rows], np.ones(len(rows)), *(step[rows - i] for i in range(1, lags + 1))])
+        beta = np.linalg.lstsq(x, step[rows], rcond=None)[0]
+        sse = ((step[rows] - x @ beta) ** 2).sum()
+        return len(rows), sse, x, beta
+
+    lags = min(range(most + 1), key=lambda k: (lambda n, sse, x, _: n * np.log(sse / n) + 2 * x.shape[1])(*fit(k, most)))
+    n, sse, x, beta = fit(lags, lags)
+    return n, lags, beta[0] / np.sqrt(sse / (n - x.shape[1]) * np.linalg.inv(x.T @ x)[0, 0])
+
+
+def test_adf_equals_numpy_on_many_series(spark):
+    draw = np.random.default_rng(12)
+    series = {}
+    for i, n in enumerate((10, 11, 30, 80, 206)):
+        series[f"walk{n}"], series[f"noise{n}"] = 1000 + np.cumsum(draw.normal(0, 1, n)), draw.normal(1e4, 3, n)
+    start = dt.date(2020, 1, 6)
+    rows = [(k, "level", start + dt.timedelta(weeks=i), float(x)) for k, v in series.items() for i, x in enumerate(v)]
+    rows += [("flat", "level", start + dt.timedelta(weeks=i), 3.0) for i in range(40)] + [("few", "level", start, 1.0)]
+    long = spark.createDataFrame(rows, "series_key string, transform string, week date, value double")
+    got = {r.series_key: r for r in stationarity.adf(long).collect()}
+    assert set(got) == set(series)
+    for k, v in series.items():
+        most = min(math.ceil(12 * (len(v) / 100) ** 0.25), len(v) // 2 - 2)
+        n, lags, statistic = adf_by_force(v, most)
+        assert (got[k].observations, got[k].lags) == (n, lags) and got[k].statistic == pytest.approx(statistic, rel=1e-7)
 
 
-def test_arima_recovers_its_process(spark):
+def test_arima_recovers_its_processes(spark):
     draw = np.random.default_rng(3)
-    e, w = draw.normal(0, 1, 600), np.zeros(600)
-    for t in range(1, 600):
-        w[t] = 0.6 * w[t - 1] + e[t] + 0.3 * e[t - 1]
-    prediction, aic, bic = forecast._fit_arima(np.cumsum(w), 3, None)
-    errors = forecast._innovations(w, np.array([-0.6]), np.array([0.3]))
-    known = 600 * (np.log(2 * np.pi * (errors @ errors) / 600) + 1) + 6
-    assert aic <= known + 1.0 and bic > aic and len(prediction) == 3
+    known = {"one": (0.6, 0.3), "two": (-0.5, 0.7), "three": (0.8, -0.2)}
+    weeks, shocks = None, {}
+    for key, (a, b) in known.items():
+        e, w = draw.normal(0, 1, 600), np.zeros(600)
+        w[0] = e[0]
+        for t in range(1, 600):
+            w[t] = a * w[t - 1] + e[t] + b * e[t - 1]
+        shocks[key] = (e @ e)
+        one = weekly(spark, np.cumsum(np.append(w, [0.0] * 3)), key=key, test=3)
+        weeks = one if weeks is None else weeks.unionByName(one)
+    fits = {r.series_key: r for r in forecast.arima_fits(weeks).collect()}
+    for key, (a, b) in known.items():
+        assert fits[key].p == pytest.approx([a, b], abs=0.12)
+        # No worse than with the true coefficients, but for the first difference that is left out.
+        assert np.dot(fits[key].e, fits[key].e) <= shocks[key] * 1.01
+    got = forecast.arima(weeks).groupBy("series_key").agg(F.count("prediction").alias("n"), F.first("aic").alias("aic"), F.first("bic").alias("bic")).collect()
+    assert len(got) == 3 and all(r.n == 3 and r.bic > r.aic for r in got)
+
+
+def test_seasonal_arima_follows_its_season(spark):
+    draw = np.random.default_rng(6)
+    season, n = 6, 300
+    e, w = draw.normal(0, 1, n), np.zeros(n)
+    for t in range(n):
+        past = lambda x, k: x[t - k] if t >= k else 0.0
+        w[t] = 0.5 * past(w, 1) + 0.4 * past(w, season) - 0.2 * past(w, season + 1) + e[t]
+    y = np.concatenate((np.zeros(season + 1), np.zeros(n)))
+    for t in range(n):
+        i = t + season + 1
+        y[i] = y[i - 1] + y[i - season] - y[i - season - 1] + w[t]
+    fit = forecast.arima_fits(weekly(spark, y, test=5), season).first()
+    assert fit.p[:2] == pytest.approx([0.5, 0.4], abs=0.25) and np.dot(fit.e, fit.e) <= (e[:-5] @ e[:-5]) * 1.02
 
 
 def test_forecasts_and_reasons(spark):
@@ -77,11 +156,56 @@ def test_forecasts_and_reasons(spark):
     assert roles["prediction"] == 90 and roles["test"] == 30
 
 
-def test_smoothing_with_full_weight_repeats_the_last_value():
-    y = np.array([3.0, 5.0, 4.0, 6.0, 8.0, 7.0])
-    weights = np.array([[1.0, 0.0, 0.0]])
-    _, level, _, season = forecast._smooth(y, 1, "add", "add", weights)
-    assert level[0] + season[0][0] == pytest.approx(7.0)
+def test_smoothing_with_full_weight_repeats_the_last_value(spark):
+    got = forecast.smoothing_with(weekly(spark, [3.0, 5.0, 4.0, 6.0, 8.0, 7.0, 1.0], test=1), (1.0, 0.0, 0.0), season=1).first()
+    assert got.prediction == pytest.approx(7.0 + 2.0)  # the slope stays that of the first two weeks
+
+
+def smoothed_by_force(y, m, trend, seasonal, weights, steps):
+    alpha, beta, gamma = weights
+    level, second = np.mean(y[:m]), np.mean(y[m:2 * m])
+    slope = (second / level) ** (1 / m) if trend == "mul" else (second - level) / m
+    season = [v / level if seasonal == "mul" else v - level for v in y[:m]]
+    for t, v in enumerate(y):
+        s, base = season[t % m], level * slope if trend == "mul" else level + slope
+        new = alpha * (v / s if seasonal == "mul" else v - s) + (1 - alpha) * base
+        slope = beta * (new / level if trend == "mul" else new - level) + (1 - beta) * slope
+        season[t % m] = gamma * (v / base if seasonal == "mul" else v - base) + (1 - gamma) * s
+        level = new
+    out = []
+    for h in range(1, steps + 1):
+        base, s = level * slope**h if trend == "mul" else level + slope * h, season[(len(y) + h - 1) % m]
+        out.append(base * s if seasonal == "mul" else base + s)
+    return out
+
+
+@pytest.mark.parametrize("trend,seasonal", forecast.FORMS)
+def test_smoothing_equals_a_plain_loop(spark, trend, seasonal):
+    y = 20 + np.random.default_rng(2).uniform(0, 5, 47) + 3 * np.sin(np.arange(47))
+    weights = (0.3, 0.1, 0.25)
+    got = forecast.smoothing_with(weekly(spark, y, test=9), weights, trend, seasonal, 7).orderBy("week").collect()
+    assert [r.prediction for r in got] == pytest.approx(smoothed_by_force(y[:-9], 7, trend, seasonal, weights, 9), rel=1e-9)
+
+
+def test_the_search_ends_near_the_least_error(spark):
+    y = 30 + np.cumsum(np.random.default_rng(9).normal(0, 1, 60))
+    rows = spark.createDataFrame([("a", "add", "add", y.tolist()), ("b", "mul", "add", (-y).tolist()), ("c", "add", "add", [1.0])],
+                                 "series_key string, trend string, seasonal string, y array<double>")
+    found = {r.series_key: r for r in forecast.smoothing_search(rows, 4).collect()}
+    assert found["b"].state is None and found["c"].state is None
+    least = found["a"].state.sse
+    r = np.random.default_rng(1)
+    tried = spark.createDataFrame([tuple(map(float, r.uniform(0.01, 0.99, 3))) for _ in range(300)], "alpha double, beta double, gamma double")
+    state = forecast.smoothed(F.lit(y.tolist()), 4, F.lit("add"), F.lit("add"), (F.col("alpha"), F.col("beta"), F.col("gamma")))
+    assert least <= tried.select(F.min(state["sse"])).first()[0] * 1.01
+
+
+def test_many_series_are_fitted_in_many_tasks(spark):
+    weeks = weekly(spark, np.arange(30) ** 1.5, key="k0")
+    for i in range(1, 12):
+        weeks = weeks.unionByName(weekly(spark, np.arange(30) ** 1.5 + i, key=f"k{i}"))
+    plan = forecast.arima(weeks)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("FlatMapGroups", "Python", "Pandas", "Arrow"))
 
 
 def test_unit_seasonal_naive_split(spark):

@@ -57,6 +57,8 @@ ZONE_EDGES = ", ".join(
     for name, rings in shapes() for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:])
 )
 KEY = "((id % 1000003) * 48271 + 12345) % 2147483647"
+#: The weights of the fixed smoothing, as registered.
+SMOOTHING = (0.3, 0.05, 0.2)
 WEEK = "cast(date_trunc('week', make_timestamp(timestamp * 1000000)) as date)"
 WEEKS = f"""{TRAINING}, weeks as (select 'ALL' as series_key, {WEEK} as week, count(distinct MMSI) as y
  from training group by all),
@@ -219,6 +221,37 @@ def kpss_sql() -> str:
   when s <= 0.739 then 0.025 + (s - 0.574) / (0.739 - 0.574) * (0.01 - 0.025) else 0.01 end, 6) as p_value from stat""")
 
 
+def adf_sql() -> str:
+    """The regression of steps on levels and a constant, in closed form."""
+    return query(f"""{WEEKS}, diffs as (select *, y - lag(y) over w as d1 from marked window w as (partition by series_key order by week)),
+ diffs2 as (select *, d1 - lag(d1) over w as d2 from diffs window w as (partition by series_key order by week)),
+ long as (select series_key, 'level' as transform, week, cast(y as double) as v from diffs2
+  union all select series_key, 'diff_1', week, cast(d1 as double) from diffs2 where d1 is not null
+  union all select series_key, 'diff_2', week, cast(d2 as double) from diffs2 where d2 is not null),
+ steps as (select *, lag(v) over w as x, v - lag(v) over w as step from long window w as (partition by series_key, transform order by week)),
+ r as (select series_key, transform, count(step) as n, regr_sxx(step, x) as sxx, regr_syy(step, x) as syy, regr_sxy(step, x) as sxy
+  from steps where step is not null group by all having count(step) >= 9)""",
+        """select series_key, transform, cast(n as integer) as observations,
+ round((sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 6) as statistic from r""")
+
+
+def smoothing_sql(m: int = 52) -> str:
+    """Additive smoothing week by week, from the means of the first two years."""
+    a, b, g = SMOOTHING
+    return query(f"""{TRAINING}, weeks as (select 'ALL' as series_key, {WEEK} as week, count(distinct MMSI) as y from training group by all
+  union all select 'type ' || Type, {WEEK}, count(distinct MMSI) from training group by all),
+ series as (select series_key, list(y::double order by week) filter (week < date '2023-01-01') as y,
+  list({{'week': week, 'y': y::double}} order by week) filter (week >= date '2023-01-01') as test from weeks group by series_key),
+ state as (select series_key, y, 0 as t, list_avg(y[1:{m}]) as level, (list_avg(y[{m + 1}:{2 * m}]) - list_avg(y[1:{m}])) / {m} as slope,
+   list_transform(y[1:{m}], lambda v: v - list_avg(y[1:{m}])) as season from series where len(y) >= {2 * m}
+  union all select series_key, y, t + 1, {a} * (y[t + 1] - season[1]) + (1 - {a}) * (level + slope),
+   {b} * ({a} * (y[t + 1] - season[1]) + (1 - {a}) * (level + slope) - level) + (1 - {b}) * slope,
+   season[2:] || [{g} * (y[t + 1] - level - slope) + (1 - {g}) * season[1]] from state where t < len(y)),
+ ahead as (select s.series_key, level, slope, season, unnest(test) as p, unnest(range(1, len(test) + 1)) as h
+  from state s join series using (series_key) where t = len(s.y))""",
+        f"""select series_key, p.week as week, p.y as y, round(level + slope * h + season[(h - 1) % {m} + 1], 6) as prediction from ahead""").replace("with ", "with recursive ", 1)
+
+
 ORACLE: dict[str, str] = {
     "traffic_by_country": query(PREPARED, """select year, Country, count(*) as messages,
  count(distinct MMSI) as vessels from prepared group by year, Country"""),
@@ -313,6 +346,8 @@ ORACLE: dict[str, str] = {
     "chronological_split": query(WEEKS, """select series_key, week, y, case when row_number() over (order by week) >
  count(*) over () - floor(count(*) over () * 0.1e0) then 'validate' else 'fit' end as split from weeks"""),
     "kpss": kpss_sql(),
+    "adf_without_lags": adf_sql(),
+    "smoothing_fixed": smoothing_sql(),
     "naive_forecast_metrics": query(WEEKS + ", f as (select *, lag(y) over (order by week) as p from marked)",
         """select series_key, 'lag_1' as model, round(avg(abs(y - p)), 6) as mae, round(sqrt(avg((y - p) * (y - p))), 6) as rmse,
  round(avg(case when y <> 0 then abs((y - p) / y::double) end) * 100, 6) as mape from f where split = 'test' group by series_key"""),

@@ -25,6 +25,7 @@ from wakeline.sources.dimensions import local_flags
 
 Query = Callable[[SparkSession, str], DataFrame]
 EPS, MIN_SAMPLES = 0.5, 5
+SMOOTHING = (0.3, 0.05, 0.2)
 
 
 def rounded(df: DataFrame, digits: int, **special: int) -> DataFrame:
@@ -219,8 +220,15 @@ def differenced(spark: SparkSession, sf: str) -> DataFrame:
     return series.with_differences_as_series(weeks(spark, sf))
 
 
+def many_weeks(spark: SparkSession, sf: str) -> DataFrame:
+    """The weekly series of all vessels and of every vessel type."""
+    rows = classification.training_rows(ais(spark, sf))
+    types = forecasting.weekly(rows, key=F.concat(F.lit("type "), F.col("Type").cast("string")))
+    return forecasting.weekly(rows).unionByName(types)
+
+
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.model_comparison(forecast.all_forecasts(weeks(spark, sf).cache()))
+    return forecast.model_comparison(forecast.all_forecasts(checkpointed(many_weeks(spark, sf))))
 
 
 def by_country(spark: SparkSession, sf: str) -> DataFrame:
@@ -334,10 +342,14 @@ QUERIES: dict[str, Query] = {
     "cluster_meanshift": clustered("meanshift"),
     "pca_loadings": pca_loadings,
     "adf": lambda s, d: stationarity.adf(differenced(s, d)),
-    "forecast_arima": lambda s, d: forecast.arima(weeks(s, d)),
+    "adf_without_lags": lambda s, d: rounded(stationarity.adf(differenced(s, d), most_lags=0).select(
+        "series_key", "transform", "observations", "statistic"), 6),
+    "smoothing_fixed": lambda s, d: rounded(forecast.smoothing_with(many_weeks(s, d), SMOOTHING).select(
+        "series_key", "week", "y", "prediction"), 6),
+    "forecast_arima": lambda s, d: forecast.arima(many_weeks(s, d)),
     "forecast_arima_by_country": by_country,
-    "forecast_sarima": lambda s, d: forecast.sarima(weeks(s, d)),
-    "forecast_holt_winters": lambda s, d: forecast.holt_winters(weeks(s, d)),
+    "forecast_sarima": lambda s, d: forecast.sarima(many_weeks(s, d)),
+    "forecast_holt_winters": lambda s, d: forecast.holt_winters(many_weeks(s, d)),
     "forecast_rf_lags": lambda s, d: forecast.forest_on_lags(weeks(s, d)),
     "model_comparison": model_comparison,
 }

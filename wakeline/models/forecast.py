@@ -1,237 +1,282 @@
 """Weekly traffic forecasts for many series at once.
 
-Input is (series_key, week, y, split) with split train/test. Each fitted group is one weekly
-series, bounded by the calendar; Spark spreads the series (and, for the smoothing search, the
-series x form combinations) over tasks. Output is one row per test week:
+Input is (series_key, week, y, split) with split train/test. A series is one array, bounded by the
+calendar, and fits are Column expressions over it: cross products of lags, small linear systems and
+recursions as array folds. So every series is a row and Spark spreads rows (and, for the smoothing
+search, row x form x weights) over tasks. Output is one row per test week:
 (series_key, model, week, y, prediction, aic, bic, note). A series a model cannot be fitted to
 has null predictions and the reason in `note`.
 """
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.constants import SEASON_WEEKS
+from wakeline.functions.arrays import before, combination, computed, differenced, dot, lagged, let, moving, recursive, regression, total
 from wakeline.operators.evaluation import forecast_metrics
 from wakeline.operators.scaling import minmax_scaled
 from wakeline.operators.series import chronological_split, lag_features
 
 COLUMNS = ["series_key", "model", "week", "y", "prediction", "aic", "bic", "note"]
-SCHEMA = "series_key string, model string, week date, y double, prediction double, aic double, bic double, note string"
 MIN_POINTS = 10
 
 
-class Unfit(Exception):
-    """The model cannot be fitted to this series."""
-
+def as_arrays(series: DataFrame, train: str = "train") -> DataFrame:
+    """(series_key, y, n, test): the train values in the order of weeks, and the other weeks with their values."""
+    def ordered(condition: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(condition, F.struct("week", F.col("y").cast("double").alias("y")))))
 
-def _per_series(series: DataFrame, model: str, fit: Callable[[np.ndarray, int], tuple]) -> DataFrame:
-    """Run fit(train values, steps) -> (forecast, aic, bic) on every series."""
+    rows = series.groupBy("series_key").agg(ordered(F.col("split") == train).alias("fit"), ordered(F.col("split") != train).alias("test"))
+    return rows.select("series_key", F.transform("fit", lambda p: p["y"]).alias("y"), F.size("fit").alias("n"), "test")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("week")
-        train, test = ordered[ordered["split"] == "train"], ordered[ordered["split"] == "test"]
-        out = test[["series_key", "week", "y"]].assign(model=model, aic=np.nan, bic=np.nan, prediction=np.nan, note=None)
-        try:
-            forecast, aic, bic = fit(train["y"].to_numpy("float64"), len(test))
-            out = out.assign(prediction=forecast, aic=aic, bic=bic)
-        except Unfit as reason:
-            out = out.assign(note=str(reason))
-        return out[COLUMNS]
 
-    return series.groupBy("series_key").applyInPandas(run, SCHEMA)
+def _by_week(rows: DataFrame, model: Column) -> DataFrame:
+    """One row per test week of rows with test, forecast, aic, bic and note."""
+    weeks = rows.where(F.size("test") > 0).select("series_key", "aic", "bic", "note", "forecast", F.posexplode("test").alias("at", "p"))
+    found = weeks.select("series_key", model.alias("model"), "p.week", "p.y", F.get("forecast", F.col("at")).alias("prediction"), "aic", "bic", "note")
+    return found.select(*COLUMNS)
 
 
 # --- ARIMA by conditional least squares -------------------------------------------------------
 
+STEPS = (1.0, 0.5, 0.25, 0.0625, 0.0)
+ROUNDS = 12
+BOUND = 0.98
+
+
+class _Model:
+    """(1 - a B)(1 - A B^s) w = (1 + b B)(1 + B' B^s) e; without a season a and b only.
+
+    Parameters are one array: a, b or a, A, b, B'. Nothing is before the first value.
+    """
 
-def _lag_polynomial(short: float, seasonal: float | None, season: int) -> np.ndarray:
-    """Coefficients of (1 + short B)(1 + seasonal B^season), the leading one left out."""
-    poly = np.array([1.0, short])
-    if seasonal is not None:
-        wide = np.zeros(season + 1)
-        wide[0], wide[season] = 1.0, seasonal
-        poly = np.convolve(poly, wide)
-    return poly[1:]
-
-
-def _innovations(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """One-step errors of (1 + ar(B)) w = (1 + ma(B)) e with nothing before the first value."""
-    e = np.zeros(len(w))
-    for t in range(len(w)):
-        p, q = min(t, len(ar)), min(t, len(ma))
-        e[t] = w[t] + ar[:p] @ w[t - p:t][::-1] - ma[:q] @ e[t - q:t][::-1]
-    return e
-
-
-def _minimise(residuals: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Levenberg-Marquardt with numeric derivatives."""
-    x, r, damping = start, residuals(start), 1e-2
-    for _ in range(rounds):
-        h = 1e-5
-        jacobian = np.column_stack([(residuals(x + h * unit) - r) / h for unit in np.eye(len(x))])
-        normal, gradient = jacobian.T @ jacobian, jacobian.T @ r
-        step = np.linalg.lstsq(normal + damping * np.diag(np.diag(normal) + 1e-12), -gradient, rcond=None)[0]
-        tried = residuals(x + step)
-        if tried @ tried < r @ r:
-            done = (r @ r - tried @ tried) < 1e-10 * (r @ r)
-            x, r, damping = x + step, tried, damping / 5.0
-            if done:
-                break
-        else:
-            damping *= 5.0
-            if damping > 1e8:
-                break
-    return x
-
-
-def _fit_arima(y: np.ndarray, steps: int, season: int | None) -> tuple:
-    """ARIMA(1,1,1), with season also (1,1,1) at the season's lag."""
-    needed = MIN_POINTS if season is None else 3 * season
-    if len(y) < needed:
-        raise Unfit(f"needs {needed} weeks, has {len(y)}")
-    w = np.diff(y)
-    if season is not None:
-        w = w[season:] - w[:-season]
-    if np.ptp(w) == 0:
-        raise Unfit("differenced series is constant")
-    lag = season or 0
-
-    def polynomials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = np.tanh(x)
-        seasonal = c[2:] if season is not None else (None, None)
-        return _lag_polynomial(-c[0], None if season is None else -seasonal[0], lag), _lag_polynomial(c[1], seasonal[1], lag)
-
-    def residuals(x: np.ndarray) -> np.ndarray:
-        return _innovations(w, *polynomials(x))
-
-    starts = [np.full(2 if season is None else 4, v) for v in (0.1, -0.3)]
-    best = min((_minimise(residuals, s) for s in starts), key=lambda x: float((residuals(x) ** 2).sum()))
-    ar, ma = polynomials(best)
-    errors = residuals(best)
-    n, k = len(w), len(best) + 1
-    minus_two_log = n * (np.log(2.0 * np.pi * (errors @ errors) / n) + 1.0)
-
-    history, shocks, level = list(w), list(errors), list(y)
-    for _ in range(steps):
-        p, q = min(len(history), len(ar)), min(len(shocks), len(ma))
-        nxt = -ar[:p] @ np.array(history[-p:])[::-1] + ma[:q] @ np.array(shocks[-q:])[::-1]
-        history.append(nxt)
-        shocks.append(0.0)
-        seasonal_step = level[-lag] - level[-lag - 1] if season is not None else 0.0
-        level.append(level[-1] + seasonal_step + nxt)
-    return np.array(level[len(y):]), minus_two_log + 2 * k, minus_two_log + k * np.log(n)
+    def __init__(self, season: int | None):
+        self.season = season
+        self.size = 2 if season is None else 4
+
+    def named(self, p: Column) -> tuple[Column, ...]:
+        return tuple(F.get(p, F.lit(i)) for i in range(self.size))
+
+    def shocks(self, x: Column, p: Column) -> Column:
+        """x with the moving-average side taken off."""
+        if self.season is None:
+            return recursive(x, self.named(p)[1], 1)
+        _, _, b, wide = self.named(p)
+        return recursive(recursive(x, b, 1), wide, self.season)
+
+    def errors(self, w: Column, p: Column) -> Column:
+        if self.season is None:
+            return self.shocks(moving(w, self.named(p)[0], 1), p)
+        a, wide, _, _ = self.named(p)
+        return self.shocks(moving(moving(w, a, 1), wide, self.season), p)
+
+    def slopes(self, w: Column, e: Column, p: Column) -> Column:
+        """The errors' derivatives, with the sign changed."""
+        if self.season is None:
+            return F.array(lagged(self.shocks(w, p), 1), lagged(recursive(e, self.named(p)[1], 1), 1))
+        (a, wide, b, wide_b), s = self.named(p), self.season
+        return F.array(
+            lagged(self.shocks(moving(w, wide, s), p), 1), lagged(self.shocks(moving(w, a, 1), p), s),
+            lagged(recursive(e, b, 1), 1), lagged(recursive(e, wide_b, s), s),
+        )
+
+    def start(self, w: Column) -> Column:
+        """Two regressions: on lags alone for the errors, then on the lags of values and errors."""
+        lags = [1, 2, 3, 4] if self.season is None else [1, 2, 3, 4, self.season, self.season + 1]
+        long = F.array(*(lagged(w, n) for n in lags))
+        errors = let(long, lambda x: F.zip_with(w, combination(x, regression(x, w)), lambda a, b: a - b))
+        own = [1] if self.season is None else [1, self.season]
+        second = let(errors, lambda e: regression(F.array(*(lagged(x, n) for x in (w, e) for n in own)), w))
+        return F.transform(second, lambda v: F.coalesce(F.least(F.greatest(v, F.lit(-0.9)), F.lit(0.9)), F.lit(0.1)))
+
+    def fit(self, w: Column) -> Column:
+        """Gauss-Newton steps on the sum of squared errors, each shortened until it does not rise."""
+        def nearer(p: Column, _: Column) -> Column:
+            step = let(self.errors(w, p), lambda e: regression(self.slopes(w, e, p), e))
+
+            def tried(d: Column) -> Column:
+                options = F.transform(F.array(*map(F.lit, STEPS)), lambda h: F.zip_with(
+                    p, d, lambda v, x: F.least(F.greatest(v + h * F.coalesce(x, F.lit(0.0)), F.lit(-BOUND)), F.lit(BOUND))))
+                scored = F.transform(options, lambda o: F.struct(let(self.errors(w, o), lambda e: dot(e, e)).alias("sse"), o.alias("p")))
+                return F.array_min(scored)["p"]
+
+            return let(step, tried)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), self.start(w), nearer)
+
+    def forecast(self, y: Column, w: Column, e: Column, p: Column, steps: Column) -> Column:
+        s, named = self.season, self.named(p)
+
+        def ahead(state: Column, _: Column) -> Column:
+            w, e, y = state["w"], state["e"], state["y"]
+            if s is None:
+                a, b = named
+                new, rise = a * before(w, 1) + b * before(e, 1), F.lit(0.0)
+            else:
+                a, wide, b, wide_b = named
+                new = (a * before(w, 1) + wide * before(w, s) - a * wide * before(w, s + 1)
+                       + b * before(e, 1) + wide_b * before(e, s) + b * wide_b * before(e, s + 1))
+                rise = before(y, s) - before(y, s + 1)
+            return let(new, lambda v: F.struct(
+                F.concat(w, F.array(v)).alias("w"), F.concat(e, F.array(F.lit(0.0))).alias("e"), F.concat(y, F.array(before(y, 1) + rise + v)).alias("y")))
+
+        zero = F.struct(w.alias("w"), e.alias("e"), y.alias("y"))
+        return F.aggregate(F.sequence(F.lit(1), steps), zero, ahead, lambda state: F.slice(state["y"], F.size(y) + 1, steps))
+
+
+def arima_fits(series: DataFrame, season: int | None = None) -> DataFrame:
+    """One row per series: y, n, test, w (differenced), p (parameters), e (errors) and note; p is null where it has no fit."""
+    model, needed = _Model(season), MIN_POINTS if season is None else 3 * season
+    w = differenced(F.col("y")) if season is None else differenced(differenced(F.col("y")), season)
+    rows = computed(as_arrays(series).repartition("series_key"), w=F.when(F.col("n") >= needed, w))
+    note = F.when(F.col("n") < needed, F.concat(F.lit(f"needs {needed} weeks, has "), F.col("n").cast("string"))).when(
+        F.array_max("w") == F.array_min("w"), "differenced series is constant")
+    rows = computed(rows, note=note)
+    rows = computed(rows, p=F.when(F.col("note").isNull(), model.fit(F.col("w"))))
+    return computed(rows, e=F.when(F.col("p").isNotNull(), model.errors(F.col("w"), F.col("p"))))
+
+
+def _arima(series: DataFrame, name: str, season: int | None) -> DataFrame:
+    rows = arima_fits(series, season)
+    w, e, p, n = F.col("w"), F.col("e"), F.col("p"), F.size("w")
+    steps = F.size("test")
+    deviance = n * (F.log(2 * F.pi() * F.greatest(dot(e, e), F.lit(1e-300)) / n) + 1)
+    k = (2 if season is None else 4) + 1
+    fitted = F.col("p").isNotNull() & (steps > 0)
+    rows = computed(
+        rows, forecast=F.when(fitted, _Model(season).forecast(F.col("y"), w, e, p, steps)),
+        aic=F.when(fitted, deviance + 2 * k), bic=F.when(fitted, deviance + k * F.log(n)),
+    )
+    return _by_week(rows, F.lit(name))
 
 
 def arima(series: DataFrame) -> DataFrame:
-    return _per_series(series, "ARIMA_(1,1,1)", lambda y, steps: _fit_arima(y, steps, None))
+    """ARIMA(1,1,1)."""
+    return _arima(series, "ARIMA_(1,1,1)", None)
 
 
 def sarima(series: DataFrame, season: int = SEASON_WEEKS) -> DataFrame:
-    return _per_series(
-        series, f"SARIMAX_(1,1,1)x(1,1,1,{season})", lambda y, steps: _fit_arima(y, steps, season)
-    )
+    """ARIMA(1,1,1), also (1,1,1) at the season's lag."""
+    return _arima(series, f"SARIMAX_(1,1,1)x(1,1,1,{season})", season)
 
 
 # --- Holt-Winters -----------------------------------------------------------------------------
 
 FORMS = [("add", "add"), ("mul", "add"), ("add", "mul"), ("mul", "mul")]
+GRID, REACH, SHRINK, SEARCHES = 5, 0.48, 3.0, 3
+WEIGHTS = ("alpha", "beta", "gamma")
+
+
+def smoothed(y: Column, m: int, trend: Column, seasonal: Column, weights: tuple[Column, Column, Column]) -> Column:
+    """Level, slope, season (the coming place first) and squared error after all values of a series.
+
+    ``trend`` and ``seasonal`` say "add" or "mul". A division by zero makes the result null.
+    """
+    alpha, beta, gamma = weights
+    growing, factor = trend == "mul", seasonal == "mul"
 
+    def begin(first: Column) -> Column:
+        second = total(F.slice(y, m + 1, m)) / m
+        slope = F.when(growing, F.pow(F.try_divide(second, first), F.lit(1.0 / m))).otherwise((second - first) / m)
+        season = F.transform(F.slice(y, 1, m), lambda v: F.when(factor, F.try_divide(v, first)).otherwise(v - first))
+        return F.struct(first.alias("level"), slope.alias("slope"), season.alias("season"), F.lit(0.0).alias("sse"))
 
-def _smooth(y: np.ndarray, m: int, trend: str, seasonal: str, weights: np.ndarray) -> tuple:
-    """Run the smoothing recursions for many (alpha, beta, gamma) rows at once.
+    def step(state: Column, value: Column) -> Column:
+        s = F.get(state["season"], F.lit(0))
+        base = F.when(growing, state["level"] * state["slope"]).otherwise(state["level"] + state["slope"])
 
-    Returns the squared error of each row and its final level, slope and seasonal state.
+        def after(b: Column) -> Column:
+            error = value - F.when(factor, b * s).otherwise(b + s)
+            level = alpha * F.when(factor, F.try_divide(value, s)).otherwise(value - s) + (1 - alpha) * b
+            slope = beta * F.when(growing, F.try_divide(level, state["level"])).otherwise(level - state["level"]) + (1 - beta) * state["slope"]
+            new = gamma * F.when(factor, F.try_divide(value, b)).otherwise(value - b) + (1 - gamma) * s
+            return F.struct(
+                level.alias("level"), slope.alias("slope"), F.concat(F.slice(state["season"], 2, m - 1), F.array(new)).alias("season"),
+                (state["sse"] + error * error).alias("sse"))
+
+        return let(base, after)
+
+    return let(total(F.slice(y, 1, m)) / m, lambda first: F.aggregate(y, begin(first), step))
+
+
+def extended(state: Column, m: int, trend: Column, seasonal: Column, steps: Column) -> Column:
+    """The forecasts of the coming weeks from a smoothing state."""
+    def at(h: Column) -> Column:
+        base = F.when(trend == "mul", state["level"] * F.pow(state["slope"], h)).otherwise(state["level"] + state["slope"] * h)
+        cycle = F.get(state["season"], (h - 1) % m)
+        return F.when(seasonal == "mul", base * cycle).otherwise(base + cycle)
+
+    return F.transform(F.sequence(F.lit(1), steps), at)
+
+
+def _near(centre: Column):
+    return lambda d: F.least(F.greatest(centre + d, F.lit(1e-4)), F.lit(1 - 1e-4))
+
+
+def smoothing_search(rows: DataFrame, season: int) -> DataFrame:
+    """Rows of (series_key, trend, seasonal, y) with ``weights`` and their ``state``: the least squared error.
+
+    A grid over the three weights is refined around its best place. Every row, form and place of the grid is a
+    row of its own; null where the form does not suit the series.
     """
-    alpha, beta, gamma = weights.T
-    first, second = y[:m].mean(), y[m:2 * m].mean()
-    level = np.full(len(weights), first)
-    slope = np.full(len(weights), (second / first) ** (1.0 / m) if trend == "mul" else (second - first) / m)
-    season = np.repeat((y[:m] / first if seasonal == "mul" else y[:m] - first)[None, :], len(weights), axis=0)
-    sse = np.zeros(len(weights))
-    for t, value in enumerate(y):
-        s = season[:, t % m].copy()
-        base = level * slope if trend == "mul" else level + slope
-        error = value - (base * s if seasonal == "mul" else base + s)
-        sse += error * error
-        before = level
-        level = alpha * (value / s if seasonal == "mul" else value - s) + (1.0 - alpha) * base
-        slope = beta * (level / before if trend == "mul" else level - before) + (1.0 - beta) * slope
-        season[:, t % m] = gamma * (value / base if seasonal == "mul" else value - base) + (1.0 - gamma) * s
-    return sse, level, slope, season
-
-
-def _fit_smoothing(y: np.ndarray, steps: int, trend: str, seasonal: str, m: int) -> tuple:
-    if len(y) < 2 * m:
-        raise Unfit(f"needs {2 * m} weeks, has {len(y)}")
-    if "mul" in (trend, seasonal) and y.min() <= 0:
-        raise Unfit("multiplicative form needs positive values")
-    centre, reach = np.array([0.5, 0.5, 0.5]), 0.48
-    for _ in range(4):
-        axes = [np.clip(np.linspace(c - reach, c + reach, 7), 1e-4, 1.0 - 1e-4) for c in centre]
-        grid = np.stack(np.meshgrid(*axes), axis=-1).reshape(-1, 3)
-        with np.errstate(all="ignore"):
-            sse, level, slope, season = _smooth(y, m, trend, seasonal, grid)
-        best = int(np.nanargmin(np.where(np.isfinite(sse), sse, np.nan))) if np.isfinite(sse).any() else None
-        if best is None:
-            raise Unfit("smoothing diverges")
-        centre, reach = grid[best], reach / 3.0
-    ahead = np.arange(1, steps + 1)
-    base = level[best] * slope[best] ** ahead if trend == "mul" else level[best] + slope[best] * ahead
-    cycle = season[best][(len(y) + ahead - 1) % m]
-    n, k = len(y), 3 + 2 + m
-    fit = n * np.log(max(sse[best], 1e-300) / n)
-    return (base * cycle if seasonal == "mul" else base + cycle), fit + 2 * k, fit + k * np.log(n)
+    keys = ["series_key", "trend", "seasonal"]
+    suits = (F.size("y") >= 2 * season) & (((F.col("trend") == "add") & (F.col("seasonal") == "add")) | (F.array_min("y") > 0))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    start = F.struct(*(F.lit(0.5).alias(w) for w in WEIGHTS))
+    best, reach = rows.withColumn("centre", start), REACH
+    for _ in range(SEARCHES):
+        offsets = F.array(*(F.lit(reach * (2.0 * i / (GRID - 1) - 1.0)) for i in range(GRID)))
+        grid = best
+        for w in WEIGHTS:
+            centre = F.col(f"centre.{w}")
+            grid = grid.withColumn(w, F.explode(F.transform(offsets, _near(centre))))
+        grid = grid.repartition(tasks, *keys, *WEIGHTS)
+        state = smoothed(F.col("y"), season, F.col("trend"), F.col("seasonal"), tuple(F.col(w) for w in WEIGHTS))
+        grid = computed(grid, state=F.when(suits, state))
+        sse = F.when(F.isnan("state.sse") | (F.col("state.sse") == float("inf")), None).otherwise(F.col("state.sse"))
+        order = F.struct(sse.alias("sse"), *WEIGHTS)
+        found = grid.where(sse.isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(F.struct(*WEIGHTS).alias("weights"), "state"), order).alias("found"))
+        best = rows.join(found, keys, "left").withColumn("centre", F.coalesce("found.weights", start))
+        reach /= SHRINK
+    return best.select(*rows.columns, "found.weights", "found.state")
 
 
 def holt_winters(series: DataFrame, season: int = SEASON_WEEKS) -> DataFrame:
     """Trend and season additive or multiplicative: the form with the least error on the last tenth of
     the train weeks, fitted again on all of them."""
     train = chronological_split(series.where("split = 'train'").drop("split"), F.floor(F.col("n") * 0.1))
-    trial = train.withColumn("split", F.when(F.col("split") == "fit", "train").otherwise("test"))
     forms = F.explode(F.array(*[F.struct(F.lit(t).alias("trend"), F.lit(s).alias("seasonal")) for t, s in FORMS]))
-
-    def validate(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("week")
-        fit, held = (ordered.loc[ordered["split"] == s, "y"].to_numpy("float64") for s in ("train", "test"))
-        trend, seasonal = ordered["trend"].iloc[0], ordered["seasonal"].iloc[0]
-        try:
-            forecast = _fit_smoothing(fit, len(held), trend, seasonal, season)[0]
-            error, note = float(np.sqrt(np.mean((held - forecast) ** 2))), None
-        except Unfit as reason:
-            error, note = None, str(reason)
-        return pd.DataFrame([{
-            "series_key": ordered["series_key"].iloc[0], "trend": trend, "seasonal": seasonal, "error": error, "note": note,
-        }])
-
-    tried = trial.withColumn("form", forms).select("*", "form.*").groupBy("series_key", "trend", "seasonal").applyInPandas(
-        validate, "series_key string, trend string, seasonal string, error double, note string"
-    )
-    chosen = tried.groupBy("series_key").agg(
-        F.min_by(F.struct("trend", "seasonal"), "error").alias("form"), F.min("note").alias("why")
-    ).select("series_key", "form.trend", "form.seasonal", "why")
-
-    def refit(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("week")
-        train_rows, test = ordered[ordered["split"] == "train"], ordered[ordered["split"] == "test"]
-        trend, seasonal, why = (ordered[c].iloc[0] for c in ("trend", "seasonal", "why"))
-        out = test[["series_key", "week", "y"]].assign(model="HoltWinters", aic=np.nan, bic=np.nan, prediction=np.nan, note=why)
-        if trend is not None:
-            try:
-                y = train_rows["y"].to_numpy("float64")
-                forecast, aic, bic = _fit_smoothing(y, len(test), trend, seasonal, season)
-                out = out.assign(prediction=forecast, aic=aic, bic=bic, note=f"trend {trend}, season {seasonal}")
-            except Unfit as reason:
-                out = out.assign(note=str(reason))
-        return out[COLUMNS]
-
-    return series.join(chosen, "series_key").groupBy("series_key").applyInPandas(refit, SCHEMA)
+    trial = as_arrays(train, "fit").withColumn("form", forms).select("series_key", "y", "test", "form.*")
+    tried = smoothing_search(trial, season)
+    ahead = extended(F.col("state"), season, F.col("trend"), F.col("seasonal"), F.size("test"))
+    squares = total(F.zip_with("test", ahead, lambda p, v: (p["y"] - v) * (p["y"] - v)))
+    error = F.when(F.col("state").isNotNull() & (F.size("test") > 0), F.sqrt(squares / F.size("test")))
+    chosen = computed(tried, error=error).groupBy("series_key").agg(F.min_by(F.struct("trend", "seasonal"), "error").alias("form"))
+    rows = as_arrays(series).join(chosen, "series_key", "left").select("series_key", "y", "n", "test", "form.trend", "form.seasonal")
+    fits = smoothing_search(rows, season)
+    n, k = F.col("n"), 3 + 2 + season
+    quality = n * F.log(F.greatest(F.col("state.sse"), F.lit(1e-300)) / n)
+    fitted = F.col("state").isNotNull() & (F.size("test") > 0)
+    short = F.concat(F.lit(f"needs {2 * season} weeks, has "), F.col("n").cast("string"))
+    note = F.when(F.col("state").isNotNull(), F.concat(F.lit("trend "), F.col("trend"), F.lit(", season "), F.col("seasonal"))).when(
+        F.col("n") < 2 * season, short).when(F.col("trend").isNull(), F.lit(f"its first nine tenths need {2 * season} weeks")).otherwise("smoothing diverges")
+    forecast = F.when(fitted, extended(F.col("state"), season, F.col("trend"), F.col("seasonal"), F.size("test")))
+    rows = computed(fits, note=note, aic=F.when(fitted, quality + 2 * k), bic=F.when(fitted, quality + k * F.log(n)), forecast=forecast)
+    return _by_week(rows, F.lit("HoltWinters"))
+
+
+def smoothing_with(series: DataFrame, weights: tuple[float, float, float], trend: str = "add", seasonal: str = "add", season: int = SEASON_WEEKS) -> DataFrame:
+    """Forecasts of a chosen form with chosen weights."""
+    rows = as_arrays(series).where(F.col("n") >= 2 * season)
+    kind = F.lit(trend), F.lit(seasonal)
+    rows = computed(rows, state=smoothed(F.col("y"), season, *kind, tuple(F.lit(w) for w in weights)))
+    forecast = F.when(F.size("test") > 0, extended(F.col("state"), season, *kind, F.size("test")))
+    nothing = F.lit(None).cast("double")
+    rows = rows.select("*", forecast.alias("forecast"), nothing.alias("aic"), nothing.alias("bic"), F.lit(None).cast("string").alias("note"))
+    return _by_week(rows, F.lit(f"smoothing_{trend}_{seasonal}"))
 
 
 # --- Random forest on lags --------------------------------------------------------------------
