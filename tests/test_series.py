@@ -196,8 +196,11 @@ def test_the_search_ends_near_the_least_error(spark):
     least = found["a"].state.sse
     r = np.random.default_rng(1)
     tried = spark.createDataFrame([tuple(map(float, r.uniform(0.01, 0.99, 3))) for _ in range(300)], "alpha double, beta double, gamma double")
-    state = forecast.smoothed(F.lit(y.tolist()), 4, F.lit("add"), F.lit("add"), (F.col("alpha"), F.col("beta"), F.col("gamma")))
-    assert least <= tried.select(F.min(state["sse"])).first()[0] * 1.01
+    state = forecast.smoothed(F.lit(y.tolist()), 4, F.lit(False), F.lit(False), F.array(F.struct("alpha", "beta", "gamma")))
+    alone = tried.select(state["sse"]).collect()
+    together = tried.agg(F.collect_list(F.struct("alpha", "beta", "gamma")).alias("w"))
+    best = together.select(forecast.smoothed(F.lit(y.tolist()), 4, F.lit(False), F.lit(False), F.col("w"))["sse"]).first()[0]
+    assert best == pytest.approx(min(r[0] for r in alone)) and least <= best * 1.01
 
 
 def test_many_series_are_fitted_in_many_tasks(spark):

@@ -19,6 +19,7 @@ from wakeline.functions.arrays import before, combination, computed, differenced
 from wakeline.operators.evaluation import forecast_metrics
 from wakeline.operators.scaling import minmax_scaled
 from wakeline.operators.series import chronological_split, lag_features
+from wakeline.session import checkpointed
 
 COLUMNS = ["series_key", "model", "week", "y", "prediction", "aic", "bic", "note"]
 MIN_POINTS = 10
@@ -170,36 +171,52 @@ GRID, REACH, SHRINK, SEARCHES = 5, 0.48, 3.0, 3
 WEIGHTS = ("alpha", "beta", "gamma")
 
 
-def smoothed(y: Column, m: int, trend: Column, seasonal: Column, weights: tuple[Column, Column, Column]) -> Column:
-    """Level, slope, season (the coming place first) and squared error after all values of a series.
+def smoothed(y: Column, m: int, growing: Column, factor: Column, weights: Column) -> Column:
+    """The best of an array of weights (structs of alpha, beta, gamma): its weights, level, slope, season and squared error.
 
-    ``trend`` and ``seasonal`` say "add" or "mul". A division by zero makes the result null.
+    ``growing`` and ``factor`` say whether trend and season are multiplied. All weights go through the weeks
+    together: a state per weight, and a queue of seasonal places with a value per weight, the coming place
+    first. A division by zero or an overflow takes a weight out; null if none is left.
     """
-    alpha, beta, gamma = weights
-    growing, factor = trend == "mul", seasonal == "mul"
-
     def begin(first: Column) -> Column:
         second = total(F.slice(y, m + 1, m)) / m
         slope = F.when(growing, F.pow(F.try_divide(second, first), F.lit(1.0 / m))).otherwise((second - first) / m)
-        season = F.transform(F.slice(y, 1, m), lambda v: F.when(factor, F.try_divide(v, first)).otherwise(v - first))
-        return F.struct(first.alias("level"), slope.alias("slope"), season.alias("season"), F.lit(0.0).alias("sse"))
+        states = F.transform(weights, lambda w: F.struct(
+            w.alias("w"), first.alias("level"), slope.alias("slope"), F.lit(0.0).alias("sse"), F.lit(0.0).alias("place")))
+        season = F.transform(F.slice(y, 1, m), lambda v: F.transform(weights, lambda _: F.when(factor, F.try_divide(v, first)).otherwise(v - first)))
+        return F.struct(states.alias("states"), season.alias("season"))
+
+    def week(all_: Column, value: Column) -> Column:
+        def one(state: Column, s: Column) -> Column:
+            base = F.when(growing, state["level"] * state["slope"]).otherwise(state["level"] + state["slope"])
+
+            def after(b: Column) -> Column:
+                error = value - F.when(factor, b * s).otherwise(b + s)
+                alpha, beta, gamma = (state["w"][name] for name in WEIGHTS)
+                level = alpha * F.when(factor, F.try_divide(value, s)).otherwise(value - s) + (1 - alpha) * b
+                slope = beta * F.when(growing, F.try_divide(level, state["level"])).otherwise(level - state["level"]) + (1 - beta) * state["slope"]
+                place = gamma * F.when(factor, F.try_divide(value, b)).otherwise(value - b) + (1 - gamma) * s
+                return F.struct(state["w"].alias("w"), level.alias("level"), slope.alias("slope"), (state["sse"] + error * error).alias("sse"), place.alias("place"))
+
+            return let(base, after)
+
+        states = F.zip_with(all_["states"], F.get(all_["season"], F.lit(0)), one)
+        return let(states, lambda new: F.struct(
+            new.alias("states"), F.concat(F.slice(all_["season"], 2, m - 1), F.array(F.transform(new, lambda x: x["place"]))).alias("season")))
 
-    def step(state: Column, value: Column) -> Column:
-        s = F.get(state["season"], F.lit(0))
-        base = F.when(growing, state["level"] * state["slope"]).otherwise(state["level"] + state["slope"])
+    def best(done: Column) -> Column:
+        sound = F.filter(F.transform(done["states"], lambda x, i: F.struct(
+            x["sse"].alias("sse"), i.alias("at"), x["w"].alias("weights"), x["level"].alias("level"), x["slope"].alias("slope"))),
+            lambda x: x["sse"] < float("inf"))  # neither null nor NaN nor without bound
+        return let(F.array_min(sound), lambda x: F.when(x.isNotNull(), F.struct(
+            x["weights"].alias("weights"), x["level"].alias("level"), x["slope"].alias("slope"),
+            F.transform(done["season"], lambda place: F.get(place, x["at"])).alias("season"), x["sse"].alias("sse"))))
 
-        def after(b: Column) -> Column:
-            error = value - F.when(factor, b * s).otherwise(b + s)
-            level = alpha * F.when(factor, F.try_divide(value, s)).otherwise(value - s) + (1 - alpha) * b
-            slope = beta * F.when(growing, F.try_divide(level, state["level"])).otherwise(level - state["level"]) + (1 - beta) * state["slope"]
-            new = gamma * F.when(factor, F.try_divide(value, b)).otherwise(value - b) + (1 - gamma) * s
-            return F.struct(
-                level.alias("level"), slope.alias("slope"), F.concat(F.slice(state["season"], 2, m - 1), F.array(new)).alias("season"),
-                (state["sse"] + error * error).alias("sse"))
+    return let(total(F.slice(y, 1, m)) / m, lambda first: let(F.aggregate(y, begin(first), week), best))
 
-        return let(base, after)
 
-    return let(total(F.slice(y, 1, m)) / m, lambda first: F.aggregate(y, begin(first), step))
+def _one_weight(weights: tuple[float, float, float]) -> Column:
+    return F.array(F.struct(*(F.lit(float(v)).alias(name) for name, v in zip(WEIGHTS, weights))))
 
 
 def extended(state: Column, m: int, trend: Column, seasonal: Column, steps: Column) -> Column:
@@ -212,36 +229,36 @@ def extended(state: Column, m: int, trend: Column, seasonal: Column, steps: Colu
     return F.transform(F.sequence(F.lit(1), steps), at)
 
 
-def _near(centre: Column):
-    return lambda d: F.least(F.greatest(centre + d, F.lit(1e-4)), F.lit(1 - 1e-4))
+def _near(centre: Column, reach: float) -> Column:
+    """GRID values around a weight, inside (0, 1)."""
+    offsets = [reach * (2.0 * i / (GRID - 1) - 1.0) for i in range(GRID)]
+    return F.array(*(F.least(F.greatest(centre + d, F.lit(1e-4)), F.lit(1 - 1e-4)) for d in offsets))
 
 
 def smoothing_search(rows: DataFrame, season: int) -> DataFrame:
-    """Rows of (series_key, trend, seasonal, y) with ``weights`` and their ``state``: the least squared error.
+    """Rows of (series_key, trend, seasonal, y) with the ``state`` of the least squared error.
 
-    A grid over the three weights is refined around its best place. Every row, form and place of the grid is a
-    row of its own; null where the form does not suit the series.
+    A grid over the three weights is refined around its best place. Every row, form and alpha is a row of its
+    own, which takes the grid's other two weights through the series at once; null where the form does not suit.
     """
     keys = ["series_key", "trend", "seasonal"]
     suits = (F.size("y") >= 2 * season) & (((F.col("trend") == "add") & (F.col("seasonal") == "add")) | (F.array_min("y") > 0))
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
     start = F.struct(*(F.lit(0.5).alias(w) for w in WEIGHTS))
+    names = rows.columns
+    rows = checkpointed(computed(rows, growing=F.col("trend") == "mul", factor=F.col("seasonal") == "mul", suits=suits))
     best, reach = rows.withColumn("centre", start), REACH
     for _ in range(SEARCHES):
-        offsets = F.array(*(F.lit(reach * (2.0 * i / (GRID - 1) - 1.0)) for i in range(GRID)))
-        grid = best
-        for w in WEIGHTS:
-            centre = F.col(f"centre.{w}")
-            grid = grid.withColumn(w, F.explode(F.transform(offsets, _near(centre))))
-        grid = grid.repartition(tasks, *keys, *WEIGHTS)
-        state = smoothed(F.col("y"), season, F.col("trend"), F.col("seasonal"), tuple(F.col(w) for w in WEIGHTS))
-        grid = computed(grid, state=F.when(suits, state))
-        sse = F.when(F.isnan("state.sse") | (F.col("state.sse") == float("inf")), None).otherwise(F.col("state.sse"))
-        order = F.struct(sse.alias("sse"), *WEIGHTS)
-        found = grid.where(sse.isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(F.struct(*WEIGHTS).alias("weights"), "state"), order).alias("found"))
-        best = rows.join(found, keys, "left").withColumn("centre", F.coalesce("found.weights", start))
+        grid = best.where("suits").select(*keys, "y", "growing", "factor", "centre", F.explode(_near(F.col("centre.alpha"), reach)).alias("alpha"))
+        grid = grid.repartition(tasks, *keys, "alpha")
+        betas, gammas = _near(F.col("centre.beta"), reach), _near(F.col("centre.gamma"), reach)
+        weights = F.flatten(F.transform(betas, lambda b: F.transform(gammas, lambda g: F.struct(F.col("alpha").alias("alpha"), b.alias("beta"), g.alias("gamma")))))
+        grid = computed(grid, grid=weights)
+        grid = computed(grid, state=smoothed(F.col("y"), season, F.col("growing"), F.col("factor"), F.col("grid")))
+        found = grid.where("state is not null").groupBy(*keys).agg(F.min_by("state", F.struct("state.sse", "alpha")).alias("state"))
+        best = rows.join(found, keys, "left").withColumn("centre", F.coalesce("state.weights", start))
         reach /= SHRINK
-    return best.select(*rows.columns, "found.weights", "found.state")
+    return best.select(*names, "state")
 
 
 def holt_winters(series: DataFrame, season: int = SEASON_WEEKS) -> DataFrame:
@@ -250,7 +267,7 @@ def holt_winters(series: DataFrame, season: int = SEASON_WEEKS) -> DataFrame:
     train = chronological_split(series.where("split = 'train'").drop("split"), F.floor(F.col("n") * 0.1))
     forms = F.explode(F.array(*[F.struct(F.lit(t).alias("trend"), F.lit(s).alias("seasonal")) for t, s in FORMS]))
     trial = as_arrays(train, "fit").withColumn("form", forms).select("series_key", "y", "test", "form.*")
-    tried = smoothing_search(trial, season)
+    tried = checkpointed(smoothing_search(trial, season))
     ahead = extended(F.col("state"), season, F.col("trend"), F.col("seasonal"), F.size("test"))
     squares = total(F.zip_with("test", ahead, lambda p, v: (p["y"] - v) * (p["y"] - v)))
     error = F.when(F.col("state").isNotNull() & (F.size("test") > 0), F.sqrt(squares / F.size("test")))
@@ -272,7 +289,8 @@ def smoothing_with(series: DataFrame, weights: tuple[float, float, float], trend
     """Forecasts of a chosen form with chosen weights."""
     rows = as_arrays(series).where(F.col("n") >= 2 * season)
     kind = F.lit(trend), F.lit(seasonal)
-    rows = computed(rows, state=smoothed(F.col("y"), season, *kind, tuple(F.lit(w) for w in weights)))
+    state = smoothed(F.col("y"), season, F.lit(trend == "mul"), F.lit(seasonal == "mul"), _one_weight(weights))
+    rows = computed(rows, state=state)
     forecast = F.when(F.size("test") > 0, extended(F.col("state"), season, *kind, F.size("test")))
     nothing = F.lit(None).cast("double")
     rows = rows.select("*", forecast.alias("forecast"), nothing.alias("aic"), nothing.alias("bic"), F.lit(None).cast("string").alias("note"))
