@@ -5,10 +5,11 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
-from wakeline.constants import FEATURES
-from wakeline.models import cells, classifiers, clustering, components, dbscan, meanshift, neighbours
+from wakeline.constants import CLUSTER_FEATURES, FEATURES
+from wakeline.models import cells, classifiers, clustering, components, dbscan, meanshift, neighbours, store
 from wakeline.operators import quality
 from wakeline.operators.pairwise import reduce_pairs
+from wakeline.plans import classification
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -215,6 +216,48 @@ def test_saved_model_predicts_the_same(learnable, tmp_path):
     assert sorted(classifiers.predict(loaded, test).collect()) == sorted(classifiers.predict(model, test).collect())
 
 
+FAST = {
+    "random_forest": lambda rows: store._plain(store.RandomForestClassifier(numTrees=5, maxDepth=4, seed=1), rows),
+    "gradient_boosting": lambda rows: store._boosted_trees(rows, 2),
+    "adaboost": lambda rows: store._boosted_stumps(rows, 3),
+}
+
+
+@pytest.mark.parametrize("kind", [*store.LEARNERS, "knn"])
+def test_stored_models_predict_alike_without_a_type(spark, learnable, tmp_path, monkeypatch, kind):
+    for name, quick in FAST.items():
+        monkeypatch.setitem(store.LEARNERS, name, quick)
+    monkeypatch.setattr(store.learners, "TREES", 5)
+    monkeypatch.setattr(store.learners, "ITERATIONS", 15)
+    train, test = learnable
+    model = store.train(kind, train)
+    model.save(str(tmp_path / "model"))
+    loaded = store.load(spark, str(tmp_path / "model"))
+    assert loaded.kind == kind
+    want = {r.id: r.predicted for r in model.predict(test).collect()}
+    got = {r.id: r.predicted for r in loaded.predict(test.drop("Type")).collect()}
+    assert got == want and len(got) == 60
+    kinds = {r.id: r.Type for r in test.collect()}
+    assert np.mean([kinds[i] == p for i, p in got.items()]) > 0.5
+
+
+@pytest.mark.parametrize("kind", ["decision_tree", "logistic", "knn"])
+def test_stored_models_are_those_of_the_classifiers(learnable, kind):
+    train, test = learnable
+    direct = classification.knn(train, test) if kind == "knn" else classifiers.CLASSIFIERS[kind](train, test)
+    assert {r.id: r.predicted for r in store.train(kind, train).predict(test).collect()} == {r.id: r.predicted for r in direct.collect()}
+
+
+@pytest.mark.parametrize("kind", ["kmeans", "mixture"])
+def test_stored_clusters_label_alike(spark, blobs, tmp_path, kind):
+    points = frame(spark, blobs * 1000, CLUSTER_FEATURES)
+    model = store.train_clusters(kind, points, 3)
+    model.save(str(tmp_path / "model"))
+    want = sorted((r.id, r.cluster) for r in model.label(points).collect())
+    assert sorted((r.id, r.cluster) for r in store.load(spark, str(tmp_path / "model")).label(points).collect()) == want
+    assert len({c for _, c in want}) == 3
+
+
 def test_weights_balance_the_classes(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (2,)], "Type int")
     assert {r.Type: r.weight for r in classifiers.class_weights(df).collect()} == {1: pytest.approx(2 / 3), 2: 2.0}

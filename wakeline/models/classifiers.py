@@ -7,6 +7,7 @@ drawn from. Labels are numbered by StringIndexer; class weights go to the learne
 import math
 import random
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -152,8 +153,24 @@ def perceptron(train: DataFrame, test: DataFrame) -> DataFrame:
     return predict(fit(network, standardised(train, train, FEATURES)), standardised(train, test, FEATURES))
 
 
-def ada_boost(train: DataFrame, test: DataFrame, rounds: int = BOOST_ROUNDS) -> DataFrame:
-    """Multi-class boosting of one-split trees (SAMME).
+@dataclass(frozen=True)
+class Stump:
+    """A threshold on one feature with a class index on either side."""
+
+    feature: str
+    threshold: float
+    left: float
+    right: float
+
+    def column(self) -> Column:
+        return F.when(F.col(self.feature) <= self.threshold, self.left).otherwise(self.right)
+
+    def sql(self) -> str:
+        return f"if(`{self.feature}` <= cast('{self.threshold!r}' as double), {int(self.left)}, {int(self.right)})"
+
+
+def boosted_stumps(train: DataFrame, rounds: int = BOOST_ROUNDS) -> tuple[list[str], list[tuple[Stump, float]]]:
+    """Class names and weighted votes of multi-class boosting of one-split trees (SAMME).
 
     A stump is a threshold on one feature, so the running row weight is a plain expression over
     the features: every round reads the cached sample and no lineage builds up.
@@ -162,40 +179,46 @@ def ada_boost(train: DataFrame, test: DataFrame, rounds: int = BOOST_ROUNDS) ->
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     rows = assembler.transform(indexer.transform(train)).select(*FEATURES, "features", "label").cache()
     classes = len(indexer.labels)
-    stump = DecisionTreeClassifier(maxDepth=1, maxBins=256, weightCol="weight", seed=SEED)
+    learner = DecisionTreeClassifier(maxDepth=1, maxBins=256, weightCol="weight", seed=SEED)
     exponent: Column = F.lit(0.0)
-    votes: list[tuple[Column, float]] = []
+    votes: list[tuple[Stump, float]] = []
     for _ in range(rounds):
         weighted = rows.withColumn("weight", F.exp(exponent))
-        said = _stump_label(stump.fit(weighted))
-        miss = (said != F.col("label")).cast("double")
+        stump = _stump(learner.fit(weighted))
+        miss = (stump.column() != F.col("label")).cast("double")
         error = weighted.agg(F.sum(F.col("weight") * miss) / F.sum("weight")).first()[0]
         if error >= 1.0 - 1.0 / classes:
             break
         strength = math.log(max(1.0 - error, 1e-12) / max(error, 1e-12)) + math.log(classes - 1.0)
-        votes.append((said, strength))
+        votes.append((stump, strength))
         exponent = exponent + miss * strength
         if error <= 0.0:
             break
     rows.unpersist()
+    return indexer.labels, votes
+
+
+def ada_boost(train: DataFrame, test: DataFrame, rounds: int = BOOST_ROUNDS) -> DataFrame:
+    """The class with the largest sum of the stumps' weighted votes."""
+    labels, votes = boosted_stumps(train, rounds)
     totals = [
-        sum((F.when(said == float(k), strength).otherwise(0.0) for said, strength in votes), F.lit(0.0))
-        for k in range(classes)
+        sum((F.when(stump.column() == float(k), strength).otherwise(0.0) for stump, strength in votes), F.lit(0.0))
+        for k in range(len(labels))
     ]
     ballots = F.array(*totals)
     best = F.array_position(ballots, F.array_max(ballots)).cast("int")
-    names = F.array(*[F.lit(int(n)) for n in indexer.labels])
+    names = F.array(*[F.lit(int(n)) for n in labels])
     return test.select("id", F.col("Type").alias("actual"), F.get(names, best - 1).alias("predicted"))
 
 
-def _stump_label(model) -> Column:
-    """Label index a fitted one-split tree gives to a row, as an expression over the features."""
+def _stump(model) -> Stump:
+    """The threshold of a fitted one-split tree; a tree without a split says the same on both sides."""
     root = model._call_java("rootNode")
     if model.numNodes == 1:
-        return F.lit(float(root.prediction()))
+        return Stump(FEATURES[0], 0.0, float(root.prediction()), float(root.prediction()))
     split = root.split()
     left, right = (float(n.prediction()) for n in (root.leftChild(), root.rightChild()))
-    return F.when(F.col(FEATURES[split.featureIndex()]) <= split.threshold(), left).otherwise(right)
+    return Stump(FEATURES[split.featureIndex()], float(split.threshold()), left, right)
 
 
 CLASSIFIERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
