@@ -5,6 +5,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
+from wakeline import session
 from wakeline.constants import CLUSTER_FEATURES, FEATURES
 from wakeline.models import cells, classifiers, clustering, components, dbscan, meanshift, neighbours, store
 from wakeline.operators import quality
@@ -137,6 +138,42 @@ def test_knn_equals_brute_force(spark, blobs):
         assert got[i] == min(set(votes), key=lambda v: (-votes.count(v), v))
 
 
+def test_squared_silhouette_equals_brute_force(spark, blobs):
+    x = blobs + 1e4
+    label = np.array([0] * 70 + [1] * 40 + [2] * 59 + [3])
+    rows = frame(spark, x).withColumn("cluster", F.when(F.col("id") < 70, 0).when(F.col("id") < 110, 1).when(F.col("id") < 169, 2).otherwise(3))
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    score = []
+    for i, own in enumerate(label):
+        mean = {k: d[i, label == k].sum() / ((label == k).sum() - (k == own) or 1) for k in range(4)}
+        b = min(v for k, v in mean.items() if k != own)
+        score.append(0.0 if own == 3 else (b - mean[own]) / max(b, mean[own]))
+    holed = rows.unionByName(frame(spark, [[0, 0, 0, 0]]).withColumn("a", F.lit(None).cast("double")).withColumn("cluster", F.lit(1)))
+    assert quality.silhouette_squared(holed, NAMES).first()[0] == pytest.approx(np.mean(score), rel=1e-9)
+    assert quality.silhouette_squared(rows.withColumn("cluster", F.lit(1)), NAMES).count() == 0
+    assert quality.silhouette_squared(rows.withColumn("cluster", F.col("id").cast("int")), NAMES).count() == 0
+    assert quality.silhouette_squared(rows.limit(0), NAMES).count() == 0
+
+
+def test_clusters_are_numbered_over_ranges(spark):
+    roots = spark.range(0, 5000, 7).withColumnRenamed("id", "root").repartition(9)
+    assert [(r.root, r.cluster) for r in dbscan._numbered(roots).orderBy("root").collect()] == [(7 * i, i) for i in range(715)]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_base(Context())
+
+
 def test_indices_equal_brute_force(spark, blobs):
     label = np.array([0] * 70 + [1] * 40 + [2] * 59 + [3])
     rows = frame(spark, blobs).withColumn(

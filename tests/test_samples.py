@@ -8,7 +8,9 @@ from wakeline.operators import evaluation, sampling, scaling
 
 
 def key(i):
-    return ((i % 1000003) * 48271 + 12345) % 2147483647
+    for _ in range(2):
+        i = ((i % 1000003) * 48271 + 12345) % 2147483647
+    return i
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +82,11 @@ def test_mape_leaves_zero_weeks_out(spark):
     df = spark.createDataFrame(rows, "series_key string, y double, prediction double")
     got = {r.series_key: r for r in evaluation.forecast_metrics(df, ["series_key"]).collect()}
     assert (got["a"].mae, got["a"].rmse, got["a"].mape) == (1.0, 1.0, 50.0) and got["b"].mape is None
+
+
+def test_shuffling_keeps_all_rows_in_an_order_of_its_own(spark):
+    rows = spark.range(500).withColumn("Type", F.col("id") % 3)
+    once, again = ([r.id for r in sampling.shuffled(df).collect()] for df in (rows, rows.repartition(7)))
+    assert once == again != sorted(once) and sorted(once) == list(range(500))
+    # No trace of the old order: halves of the result hold about half of either half of the rows.
+    assert 80 < sum(i < 250 for i in once[:250]) < 170

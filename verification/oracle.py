@@ -4,7 +4,7 @@ from verification.ais_view import DUCKDB_VIEW
 from verification.shapes import shapes
 from wakeline.constants import (
     ANTENNA_LAT, ANTENNA_LON, EXCLUDED_MMSI, EXCLUDED_MMSI_ML, EXCLUDED_PREFIXES, FEATURES, FOCUS_AREA,
-    GAP_THRESHOLDS, HISTOGRAM_BINS, LOCAL_FLAGS, TRACK_SIZE_THRESHOLDS, WEEKDAYS,
+    GAP_THRESHOLDS, HISTOGRAM_BINS, LOCAL_FLAGS, PORT_ZONES, TRACK_SIZE_THRESHOLDS, WEEKDAYS,
 )
 from wakeline.functions.geo import SCALE, krueger_series
 
@@ -56,7 +56,7 @@ ZONE_EDGES = ", ".join(
     f"('{name}', {num(x1)}, {num(y1)}, {num(x2)}, {num(y2)})"
     for name, rings in shapes() for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:])
 )
-KEY = "((id % 1000003) * 48271 + 12345) % 2147483647"
+KEY = "(((((id % 1000003) * 48271 + 12345) % 2147483647) % 1000003) * 48271 + 12345) % 2147483647"
 #: The weights of the fixed smoothing, as registered.
 SMOOTHING = (0.3, 0.05, 0.2)
 WEEK = "cast(date_trunc('week', make_timestamp(timestamp * 1000000)) as date)"
@@ -221,6 +221,22 @@ def kpss_sql() -> str:
   when s <= 0.739 then 0.025 + (s - 0.574) / (0.739 - 0.574) * (0.01 - 0.025) else 0.01 end, 6) as p_value from stat""")
 
 
+def map_layer_sql() -> str:
+    """Features as text: the points of every day, the area, the antenna and the ports."""
+    def drawn(kind: str, coordinates: str, name: str) -> str:
+        return f'{{"type":"Feature","geometry":{{"type":"{kind}","coordinates":{coordinates}}},"properties":{{"name":"{name}"}}}}'
+
+    def ring(points) -> str:
+        return "[[" + ",".join(f"[{x!r},{y!r}]" for x, y in points) + "]]"
+
+    fixed = [drawn("Polygon", ring(FOCUS_AREA), "Area of Focus"), drawn("Point", f"[{ANTENNA_LON!r},{ANTENNA_LAT!r}]", "Antenna AIS")]
+    fixed += [drawn("Polygon", ring(points), name) for name, points in PORT_ZONES.items()]
+    points = layer_sql("date", "", ["MMSI", "Type", "Latitude", "Longitude", "datetime", "Country"])
+    return f"""select date, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || Longitude || ',' || Latitude || ']}},"properties":{{"id":'
+ || id || coalesce(',"Type":' || Type, '') || ',"colour":' || colour || ',"popup":"' || popup || '"}}}}' as feature from ({points})
+union all select null, unnest([{", ".join(f"'{f}'" for f in fixed)}])"""
+
+
 def adf_sql() -> str:
     """The regression of steps on levels and a constant, in closed form."""
     return query(f"""{WEEKS}, diffs as (select *, y - lag(y) over w as d1 from marked window w as (partition by series_key order by week)),
@@ -354,6 +370,7 @@ ORACLE: dict[str, str] = {
     "daily_map_points": layer_sql("date", "", ["MMSI", "Type", "Latitude", "Longitude", "datetime", "Country"]),
     "bearing_map_points": layer_sql("year", " and Bearing >= 180 and Bearing <= 270",
         ["MMSI", "Type", "Latitude", "Longitude", "datetime", "Country", "Bearing"]),
+    "daily_map_layer": map_layer_sql(),
     "dataset_census": query(SIZES + """, files as (select case when rows <= 10 then 'tracks_small' else 'tracks_large' end as stage,
   'vessel_track_' || track_year || '_' || MMSI || '.csv' as name from sizes
   union all select distinct 'csv', 'ais_data_' || track_year || '_p_' || chunk || '.csv' from tracked),
@@ -395,6 +412,11 @@ ORACLE: dict[str, str] = {
  ab as (select id, max(case when own = cluster and n > 1 then total / (n - 1) end) as a,
   min(case when own <> cluster then total / n end) as b from sums group by id)""",
         "select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) as silhouette from ab"),
+    "silhouette_squared": query(TYPED + f""", sums as (select a.id, a.cluster as own, b.cluster, sum({D2}) as total, count(*) as n
+  from typed a, typed b group by all),
+ ab as (select id, max(case when own = cluster and n > 1 then total / (n - 1) end) as a,
+  min(case when own <> cluster then total / n end) as b from sums group by id)""",
+        "select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) as silhouette_squared from ab"),
     "calinski_harabasz": query(CENTRES + f""", whole as (select {", ".join(f"avg({c}) as {c}" for c in CLUSTER_COLUMNS)} from typed),
  between_ as (select sum(a.n * ({D2})) as s, count(*) as k, sum(a.n) as n from centres a, whole b),
  within_ as (select sum({D2}) as s from typed a join centres b on a.cluster = b.cluster)""",

@@ -21,7 +21,7 @@ from wakeline.plans import classification, clustering as cluster_plan, forecasti
 from wakeline.schema import numeric_columns
 from wakeline.session import checkpointed
 from wakeline.sources import census, readers
-from wakeline.sources.dimensions import local_flags
+from wakeline.sources.dimensions import local_flags, port_zones
 
 Query = Callable[[SparkSession, str], DataFrame]
 EPS, MIN_SAMPLES = 0.5, 5
@@ -314,7 +314,7 @@ QUERIES: dict[str, Query] = {
         evaluation.forecast_metrics(series.lag_one_forecast(weeks(s, d))), 6),
     "daily_map_points": lambda s, d: layers.daily_map_points(prepared(s, d)),
     "bearing_map_points": lambda s, d: layers.bearing_map_points(prepared(s, d)),
-    "daily_map_layer": lambda s, d: layers.map_layer(layers.daily_map_points(prepared(s, d)), "date"),
+    "daily_map_layer": lambda s, d: layers.map_layer(layers.daily_map_points(prepared(s, d)), "date", port_zones(s)),
     "dataset_census": dataset_census,
     "balanced_sample": balanced_sample,
     "fixed_sample": fixed_sample,
@@ -333,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "eps_neighbour_counts": eps_neighbour_counts,
     "cluster_sizes": lambda s, d: quality.cluster_sizes(typed_points(s, d)),
     "silhouette_exact": lambda s, d: rounded(quality.silhouette(typed_points(s, d), CLUSTER_FEATURES), 6),
+    "silhouette_squared": lambda s, d: rounded(quality.silhouette_squared(typed_points(s, d), CLUSTER_FEATURES), 6),
     "calinski_harabasz": lambda s, d: rounded(quality.calinski_harabasz(typed_points(s, d), CLUSTER_FEATURES), 6),
     "davies_bouldin": lambda s, d: rounded(quality.davies_bouldin(typed_points(s, d), CLUSTER_FEATURES), 6),
     **{f"clf_{name}": scored(name) for name in classifiers.CLASSIFIERS},

@@ -45,13 +45,20 @@ def dbscan(points: DataFrame, features: list[str], eps: float = 0.5, min_samples
     labelled_core = checkpointed(core.join(roots, "node"))
     border = _nearest_roots(marked.where("not core"), labelled_core, features, eps)
 
-    # One row per cluster is ranked; clusters hold at least min_samples points each.
-    order = F.row_number().over(Window.orderBy("root")) - 1
-    numbers = labelled_core.select("root").distinct().withColumn("cluster", order)
+    numbers = _numbered(labelled_core.select("root").distinct())
     members = labelled_core.select("id", "root").unionByName(border).join(numbers, "root").select("id", "cluster")
     return points.join(members, "id", "left").withColumn("cluster", F.coalesce("cluster", F.lit(NOISE)))
 
 
+def _numbered(roots: DataFrame) -> DataFrame:
+    """(root, cluster): 0.. by root, counted within ranges of roots and continued from range to range."""
+    ranged = checkpointed(roots.repartitionByRange("root").withColumn("range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("range")) - F.col("n")  # one row a range
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("root")) - 1
+    return ranged.join(F.broadcast(starts), "range").select("root", (F.col("start") + place).cast("int").alias("cluster"))
+
+
 def _cell_links(core: DataFrame, features: list[str], eps: float) -> DataFrame:
     """Distinct pairs of cells that have core points within eps of each other."""
     home, halo = with_tiles(core, features, eps)

@@ -2,10 +2,13 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators.pairwise import STEP, reduce_pairs, squared_distances, stacked
+from wakeline.session import checkpointed
+
+MAX_CLUSTERS = 4096
 
 
 def cluster_sizes(labelled: DataFrame) -> DataFrame:
@@ -110,6 +113,42 @@ def silhouette(labelled: DataFrame, features: list[str]) -> DataFrame:
     return counted.where("k > 1 and k < n").select("silhouette")
 
 
+def silhouette_squared(labelled: DataFrame, features: list[str]) -> DataFrame:
+    """Mean silhouette by squared distances, for whole tables: one pass for moments, one for the rows, no pairs.
+
+    The mean squared distance of a row to a cluster follows from the cluster's count, sums and squares. These
+    go to every task, so there may be at most ``MAX_CLUSTERS`` clusters. 0 in a cluster of one; no row when there
+    are fewer than two clusters or only clusters of one. Rows with a null feature take no part.
+    """
+    rows = labelled.select(F.col("cluster").cast("int").alias("cluster"), *(F.col(f).cast("double").alias(f) for f in features)).na.drop(subset=features)
+    # Distances do not change when the mean is taken off; squares and sums then lose no digits to it.
+    centre = rows.agg(*(F.avg(f).alias(f) for f in features)).first()
+    x = F.array(*(F.col(f) - F.lit(centre[f] or 0.0) for f in features))
+    rows = rows.select("cluster", F.inline(F.array(F.struct(x.alias("x")))))
+    place = [F.get("x", F.lit(i)) for i in range(len(features))]
+    squares = sum((v * v for v in place), F.lit(0.0))
+    moments = checkpointed(rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(squares).alias("q"), F.array(*(F.sum(v) for v in place)).alias("s")))
+    k, n, least = moments.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    if k > MAX_CLUSTERS:
+        raise ValueError(f"{k} clusters; the moments of at most {MAX_CLUSTERS} go to every task")
+    if k < 2 or least < 2:
+        return rows.sparkSession.createDataFrame([], "silhouette_squared double")
+    whole = F.broadcast(moments.agg(F.collect_list(F.struct("cluster", "n", "q", "s")).alias("all"), F.lit(1).alias("_one")))
+    met = rows.withColumn("_one", F.lit(1)).join(whole, "_one")
+
+    def apart(c: Column) -> Column:
+        cross = sum((F.get("x", F.lit(i)) * F.get(c["s"], F.lit(i)) for i in range(len(features))), F.lit(0.0))
+        return F.greatest(F.col("xx") + (c["q"] - 2 * cross) / c["n"], F.lit(0.0))
+
+    met = met.withColumn("xx", squares)
+    own = F.get(F.filter("all", lambda c: c["cluster"].eqNullSafe(F.col("cluster"))), F.lit(0))
+    others = F.array_min(F.transform(F.filter("all", lambda c: ~c["cluster"].eqNullSafe(F.col("cluster"))), apart))
+    scored = met.select(F.inline(F.array(F.struct(
+        (apart(own) * own["n"] / F.greatest(own["n"] - 1, F.lit(1))).alias("a"), others.alias("b"), own["n"].alias("n")))))
+    score = F.when(F.col("n") > 1, F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
+    return scored.agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette_squared"))
+
+
 def quality(labelled: DataFrame, features: list[str]) -> DataFrame:
     """The three indices as (metric, value) rows; absent when they are undefined."""
     indices = [silhouette(labelled, features), calinski_harabasz(labelled, features), davies_bouldin(labelled, features)]

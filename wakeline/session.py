@@ -1,7 +1,9 @@
 """Session defaults and the shared checkpoint folder."""
 
+import re
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +24,21 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_base(context: SparkContext) -> str:
+    """The folder named in spark.checkpoint.dir. Where it is unset, a temporary one on a single machine and an
+    error on a cluster, whose executors would write where nobody else can read."""
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="wakeline-checkpoint-")
+        context.setCheckpointDir(base)
+    return base
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's shared folder, so a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wakeline-checkpoint-"))
+    shared_base(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
