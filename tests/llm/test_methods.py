@@ -40,18 +40,28 @@ def test_scan_and_heap_merge_alike():
         assert v.merge(v.symbols(word)) == v._merge_long(v.symbols(word))
 
 
-def test_arcs_of_every_state_and_its_failure_sum_to_one(spark):
+def test_arcs_of_every_state_and_its_failure_sum_to_one():
     r = random.Random(4)
-    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 30))) for _ in range(200)]
-    model = ngram.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
-    a = model.automaton
-    unknown = 0.5 / (model.tokens + 0.5 * (model.types + 1))
-    for state in range(len(a.states) + 1):
-        total = 10 ** a.failure[state] * unknown if state < len(a.failure) - 1 else 0
-        for following in a.states.values():
-            weight = a.arcs.get((state << 32) | following)
-            total += 10 ** (weight if weight is not None else a.failure[state] + a.unigram[following])
-        assert total == pytest.approx(1)
+    texts = [[r.randrange(8) for _ in range(r.randint(0, 30))] + [8] for _ in range(200)]  # 8 is the end
+    n, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip([8, *t], t))
+    tokens, followers = sum(n.values()), Counter(a for a, _ in pairs)
+    root = np.log10([(n[w] + 0.5) / (tokens + 0.5 * 10) for w in range(9)])
+    arcs = sorted(pairs)
+    weights = np.log10([(pairs[a, b] - 0.75 + 0.75 * followers[a] * 10 ** root[b]) / n[a] for a, b in arcs])
+    failure = np.log10([0.75 * followers[w] / n[w] for w in range(9)])
+    a = ngram.Automaton(np.array([(x << 32) | y for x, y in arcs], np.int64), weights, failure, root)
+    unknown = 0.5 / (tokens + 0.5 * 10)
+    every = np.arange(9)
+    for state in range(9):
+        assert (10 ** a.step(np.full(9, state), every)).sum() + 10 ** failure[state] * unknown == pytest.approx(1)
+    # The traversal is that of one text after the other, token by token.
+    words, lengths = np.array([w for t in texts for w in t]), np.array([len(t) for t in texts])
+    for got, t in zip(a.traverse(words, lengths, 8), texts):
+        total = sum(weights[arcs.index(p)] if p in pairs else failure[p[0]] + root[p[1]] for p in zip([8, *t], t))
+        assert got == pytest.approx(total, rel=1e-12)
+    root_only = ngram.Automaton(np.empty(0, np.int64), np.empty(0), np.zeros(9), root)
+    assert root_only.traverse(words, lengths, 8)[0] == pytest.approx(sum(root[w] for w in texts[0]))
+    assert len(root_only.traverse(words[:0], lengths[:0], 8)) == 0
 
 
 @pytest.mark.parametrize("bucket", [1_000_000, 40])

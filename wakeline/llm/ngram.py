@@ -13,6 +13,10 @@ and the end is as frequent as the start, the answers hold the unigram counts as
 ``BUCKET_TOKENS`` tokens at any corpus size. A word more frequent than that is heavy: its pairs are dealt over
 all buckets, and its count and number of followers, at most one pair of numbers a bucket, are broadcast.
 
+From the answers a block builds its part of the model, a weighted backoff automaton: a state per word, an arc
+per trained pair with the pair's smoothed probability, a failure arc per state to the root. One traversal
+carries each text's state from left to right and adds up the log-probabilities.
+
 Words stand for themselves by 64-bit hashes, the followers of a word by 48 bits of theirs.
 
 Defined results: null and empty texts consist of the end alone; without training texts each token
@@ -20,9 +24,7 @@ has the uniform probability over nothing but the unknown type, 1; repeated rows
 own in training and each get a row; other columns pass no data.
 """
 
-import math
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,6 @@ from pyspark.sql import functions as F
 from wakeline.llm.storage import stored
 from wakeline.llm.words import _Hashes, blocks, in_batches, mixed, utf8
 
-STATE_SHARE = 1e-5
-ARC_SHARE = 1e-6
 DISCOUNT = 0.75
 END = b""
 COUNT_BYTES = 16 << 20
@@ -69,23 +69,6 @@ def unigram_counts(texts: DataFrame) -> DataFrame:
     return in_batches(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, states) -> DataFrame:
-    """(pair, n): pair = state x 2^32 + next state, for neighbouring states; 0 is the start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = states.value.get
-        for group in _grouped(batches):
-            pairs = []
-            for raw in group:
-                ids = np.array([0, *(find(w, -1) for w in tokens(raw))], np.int64)
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                pairs.append((ids[:-1][both] << 32) | ids[1:][both])
-            keys, n = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
-
-    return in_batches(texts, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
 class _Ids(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
@@ -107,29 +90,39 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int = COUNT_BYTES) -> Ite
 
 
 class Automaton:
-    """States by word, arcs as (state x 2^32 + next) to log10 weight, failure weights, root arcs."""
-
-    def __init__(self, states: dict[bytes, int], unigram: list[float], known: list[int], arcs: dict[int, float], failure: list[float]):
-        self.states, self.unigram, self.known, self.arcs, self.failure = states, unigram, known, arcs, failure
-
-    def traverse(self, text: list[bytes]) -> tuple[float, float, dict[bytes, int]]:
-        """(log10 score without, log10 unigram score without, counts of) the words that are no states."""
-        find, arc, unigram, failure = self.states.get, self.arcs.get, self.unigram, self.failure
-        state, total, base, others = 0, 0.0, 0.0, {}
-        for word in text:
-            following = find(word)
-            if following is None:
-                # The failure arc leads to the root; the word's own weight is joined later.
-                total += failure[state]
-                others[word] = others.get(word, 0) + 1
-                state = -1
-                continue
-            weight = arc((state << 32) | following) if state >= 0 else None
-            single = unigram[following]
-            total += weight if weight is not None else failure[state] + single
-            base += single
-            state = following
-        return total, base, others
+    """States are words, 0 to n - 1; n is the root, which has no history.
+
+    ``arcs`` are state x 2^32 + word, ascending, of pairs that were trained, with their log10 weights. A state
+    without an arc for a word takes its failure arc, whose weight is the mass its pairs left over, to the
+    root, and reads the word there by the word's own weight. A state never trained on is the root in all
+    but name: no arcs, failure weight 0.
+    """
+
+    def __init__(self, arcs: np.ndarray, weights: np.ndarray, failure: np.ndarray, root: np.ndarray):
+        self.arcs, self.weights, self.failure, self.root = arcs, weights, np.append(failure, 0.0), root
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """log10 weights of reading a word each in a state each; the new states are the words."""
+        key = (state << 32) | word
+        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
+        failing = self.failure[state] + self.root[word]
+        return np.where(self.arcs[at] == key, self.weights[at], failing) if len(self.arcs) else failing
+
+    def traverse(self, words: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+        """log10 weight of each text. All texts go left to right together, each with its state."""
+        order = np.argsort(-lengths, kind="stable")
+        begins = (np.cumsum(lengths) - lengths)[order]
+        longest = lengths[order]
+        total, state = np.zeros(len(lengths)), np.full(len(lengths), start, np.int64)
+        # Texts by falling length: those that still have a word at a place are the first ones.
+        left = np.searchsorted(-longest, -np.arange(longest[0] if len(longest) else 0), side="left")
+        for place, n in enumerate(left.tolist()):
+            word = words[begins[:n] + place].astype(np.int64)
+            total[:n] += self.step(state[:n], word)
+            state[:n] = word
+        out = np.empty(len(lengths))
+        out[order] = total
+        return out
 
 
 class Model:
@@ -138,36 +131,6 @@ class Model:
     def __init__(self, texts: DataFrame, counts: DataFrame, tokens_: int, types: int, buckets: int, heavy: dict[int, tuple[int, int]]):
         self.texts, self.counts, self.tokens, self.types, self.buckets, self.heavy = texts, counts, tokens_, types, buckets, heavy
 
-    @cached_property
-    def automaton(self) -> Automaton:
-        """The frequent part of the model in memory, for use outside Spark; ``score`` does not need it.
-
-        Words of a share of STATE_SHARE and pairs of ARC_SHARE: the whole model where these are below one token.
-        """
-        n, least = self.tokens, max(1, STATE_SHARE * self.tokens)
-        # Bounded: at most 1 / STATE_SHARE words reach that share.
-        frequent = self.counts.where((F.col("n") >= least) | (F.length("word") == 0)).select("word", "n").collect()
-        frequent.sort(key=lambda r: (-r.n, bytes(r.word)))
-        states = {bytes(r.word): i + 1 for i, r in enumerate(frequent)}
-        known = [0, *(r.n for r in frequent)]
-        denominator = n + 0.5 * (self.types + 1)
-        unigram = [0.0, *(math.log10((r.n + 0.5) / denominator) for r in frequent)]
-        shared = self.texts.sparkSession.sparkContext.broadcast(states)
-        pairs = pair_counts(self.texts, shared).where(F.col("n") >= max(1, ARC_SHARE * n)).collect()  # at most 1 / ARC_SHARE
-        starts = known[states[END]] if END in states else 0
-        seen = [starts, *known[1:]]
-        mass = [1.0] * len(known)
-        for r in pairs:
-            mass[r.pair >> 32] -= (r.n - DISCOUNT) / seen[r.pair >> 32]
-        failure = [math.log10(max(m, 1e-9)) for m in mass]
-        arcs = {}
-        for r in pairs:
-            state, following = r.pair >> 32, r.pair & 0xFFFFFFFF
-            p = (r.n - DISCOUNT) / seen[state] + mass[state] * 10 ** unigram[following]
-            arcs[r.pair] = math.log10(p)
-        # The last entry is the root itself (state -1): no failure arc, weight 0.
-        return Automaton(states, unigram, known, arcs, [*failure, 0.0])
-
 
 def learn(texts: DataFrame) -> Model:
     """Learn from the rows of a table whose single column holds texts."""
@@ -259,7 +222,9 @@ def _requests(rows: DataFrame, buckets: int, heavy: list[int]) -> DataFrame:
         if asking.any():
             known = [i for i, asks_ in zip(ids, asks) if asks_]
             about = np.array([i or 0 for i in known], np.int64), np.array([i is None for i in known], np.int64), (lengths - 1)[asking]
-            out.append((-1 - number, number, -1, _packed(*about), _packed(rank[place[np.repeat(asking, lengths - 1)]]), None))
+            # The word of every run in bucket order, for the states, then every token's pair.
+            states = pairs[order][starts] >> 32
+            out.append((-1 - number, number, -1, _packed(*about), _packed(rank[place[np.repeat(asking, lengths - 1)]]), _packed(states.astype(np.int32))))
         types = pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["key", "block", "bucket", "a", "b", "c"])
 
@@ -280,7 +245,9 @@ def _requests(rows: DataFrame, buckets: int, heavy: list[int]) -> DataFrame:
 
 def _answers(requests: DataFrame, heavy: dict[int, tuple[int, int]]) -> DataFrame:
     """(block, bucket, a, b): counts for each block's pairs, in their order; the blocks' own texts pass through."""
-    fields = ["block", "bucket", "a", "b"]
+    fields = ["block", "bucket", "a", "b", "c"]
+    known = sorted(heavy)
+    heavy = np.array(known, np.uint64), np.array([heavy[w] for w in known], np.int64).reshape(-1, 2)
     shared = requests.sparkSession.sparkContext.broadcast(heavy)
 
     def run(rows: pa.Table) -> pa.Table:
@@ -304,18 +271,32 @@ def _answers(requests: DataFrame, heavy: dict[int, tuple[int, int]]) -> DataFram
         total = np.bincount(group, weights=times).astype(np.int64)
         count = np.bincount(a[new], weights=total, minlength=len(words)).astype(np.int64)
         followers = np.bincount(a[new], weights=total > 0, minlength=len(words)).astype(np.int64)
-        for word, (n, types) in shared.value.items():
-            at = int(np.searchsorted(words, np.uint64(word)))
-            if at < len(words) and int(words[at]) == word:
-                count[at], followers[at] = n, types
+        dealt, numbers = shared.value
+        if len(dealt):
+            at = np.minimum(np.searchsorted(dealt, words), len(dealt) - 1)
+            found = dealt[at] == words
+            count[found], followers[found] = numbers[at[found]].T
         out, r, p = [], 0, 0
         for o, s in zip(own, six):
             q, t = r + len(o), p + len(s)
             out.append(np.array([len(o)], np.int64).tobytes() + _packed(runs[r:q], count[which[r:q]], followers[which[r:q]], total[group[p:t]]))
             r, p = q, t
-        return pa.table([rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=fields)
+        nothing = pa.nulls(len(out), pa.binary())
+        return pa.table([rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array(out, pa.binary()), nothing, nothing], names=fields)
+
+    return requests.groupBy("key").applyInArrow(run, "block long, bucket int, a binary, b binary, c binary")
+
 
-    return requests.groupBy("key").applyInArrow(run, "block long, bucket int, a binary, b binary")
+def _joined(answers: list[bytes]) -> list[np.ndarray]:
+    """Runs, counts, followers and pair counts of a block from its buckets' answers; takes the answers out of the list."""
+    parts: tuple[list, ...] = ([], [], [], [])
+    kinds = np.int32, np.int64, np.int64, np.int64
+    while len(answers) > 1:
+        x = answers.pop(1)
+        numbers, n = np.frombuffer(_unpacked(x[8:]), np.int64), int.from_bytes(x[:8], "little")
+        for part, piece, kind in zip(parts, np.split(numbers, [n, 2 * n, 3 * n]), kinds):
+            part.append(piece.astype(kind))
+    return [np.concatenate(part) for part in parts]
 
 
 def _scores(answers: DataFrame, tokens_: int, types: int) -> DataFrame:
@@ -331,23 +312,37 @@ def _scores(answers: DataFrame, tokens_: int, types: int) -> DataFrame:
         a = rows.column("a").to_pylist()
         ids, none, lengths = np.frombuffer(_unpacked(a[0]), np.int64).reshape(3, -1)
         place = np.frombuffer(_unpacked(rows.column("b")[0].as_py()), np.int32)
-        parts = ([], [], [], [])
-        for x in a[1:]:
-            numbers, n = np.frombuffer(_unpacked(x[8:]), np.int64), int.from_bytes(x[:8], "little")
-            for part, piece in zip(parts, np.split(numbers, [n, 2 * n, 3 * n])):
-                part.append(piece)
-        runs, count, followers, pair = map(np.concatenate, parts)
-        first = np.repeat(np.arange(len(runs)), runs)[place]
-        seen = count[first].astype(np.float64)
-        # A token is the first word of the next pair; the end counts as often as the start.
+        state = np.frombuffer(_unpacked(rows.column("c")[0].as_py()), np.int32)
+        del rows
+        runs, count, followers, pair = _joined(a)
+        size = int(state.max()) + 1
+        # A heavy word has a run in several buckets, all with the same count.
+        seen, kinds_ = np.zeros(size), np.zeros(size)
+        seen[state], kinds_[state] = count, followers
+        root = np.log10((seen + 0.5) / denominator)
+        with np.errstate(divide="ignore"):
+            failure = np.where(seen > 0, np.log10(DISCOUNT * kinds_ / np.maximum(seen, 1)), 0.0)
+        # A token is the first word of the next pair; the end behind a text's last word is the one before its first.
+        history = np.repeat(state, runs)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        own = np.roll(seen, -1)
-        own[starts + lengths - 1] = seen[starts]
-        single = (own + 0.5) / denominator
-        kept = np.maximum(pair[place] - DISCOUNT, 0) + DISCOUNT * followers[first] * single
-        p = np.where(seen > 0, kept / np.maximum(seen, 1), single)
-        sums = [np.add.reduceat(x, starts) for x in ((own > 0).astype(np.int64), np.log10(single), np.log10(p))]
-        return pa.table([pa.array(ids, mask=none.astype(bool)), pa.array(lengths), *map(pa.array, sums)], names=names)
+        words = np.empty(len(place), np.int32)
+        words[:-1] = history[place[1:]]
+        words[starts + lengths - 1] = history[place[starts]]
+        following = np.full(len(pair), -1, np.int32)  # pairs of texts that only train lead nowhere here
+        following[place] = words
+        start = int(history[place[0]])
+        del place
+        trained = np.flatnonzero((pair > 0) & (following >= 0))
+        arcs = history[trained].astype(np.int64) << 32 | following[trained]
+        order = np.argsort(arcs)
+        arcs, trained = arcs[order], trained[order]
+        times, first, second = pair[trained], history[trained], following[trained]
+        del order, trained, pair, history, following
+        weights = np.log10((times - DISCOUNT + DISCOUNT * kinds_[first] * 10 ** root[second]) / seen[first])
+        del times, first, second
+        score = Automaton(arcs, weights, failure, root).traverse(words, lengths, start)
+        sums = [np.add.reduceat(x[words], starts) for x in ((seen > 0).astype(np.int64), root)]
+        return pa.table([pa.array(ids, mask=none.astype(bool)), pa.array(lengths), *map(pa.array, sums), pa.array(score)], names=names)
 
     return answers.groupBy("block").applyInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
 
