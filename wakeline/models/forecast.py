@@ -19,7 +19,6 @@ from wakeline.functions.arrays import before, combination, computed, differenced
 from wakeline.operators.evaluation import forecast_metrics
 from wakeline.operators.scaling import minmax_scaled
 from wakeline.operators.series import chronological_split, lag_features
-from wakeline.session import checkpointed
 
 COLUMNS = ["series_key", "model", "week", "y", "prediction", "aic", "bic", "note"]
 MIN_POINTS = 10
@@ -238,27 +237,29 @@ def _near(centre: Column, reach: float) -> Column:
 def smoothing_search(rows: DataFrame, season: int) -> DataFrame:
     """Rows of (series_key, trend, seasonal, y) with the ``state`` of the least squared error.
 
-    A grid over the three weights is refined around its best place. Every row, form and alpha is a row of its
-    own, which takes the grid's other two weights through the series at once; null where the form does not suit.
+    A grid over the three weights is refined around its best place. A row takes the whole grid through its
+    series at once, so a search is a few expressions per row; null where the form does not suit.
     """
-    keys = ["series_key", "trend", "seasonal"]
+    names, keys = rows.columns, ["series_key", "trend", "seasonal"]
     suits = (F.size("y") >= 2 * season) & (((F.col("trend") == "add") & (F.col("seasonal") == "add")) | (F.array_min("y") > 0))
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
-    start = F.struct(*(F.lit(0.5).alias(w) for w in WEIGHTS))
-    names = rows.columns
-    rows = checkpointed(computed(rows, growing=F.col("trend") == "mul", factor=F.col("seasonal") == "mul", suits=suits))
-    best, reach = rows.withColumn("centre", start), REACH
-    for _ in range(SEARCHES):
-        grid = best.where("suits").select(*keys, "y", "growing", "factor", "centre", F.explode(_near(F.col("centre.alpha"), reach)).alias("alpha"))
-        grid = grid.repartition(tasks, *keys, "alpha")
-        betas, gammas = _near(F.col("centre.beta"), reach), _near(F.col("centre.gamma"), reach)
-        weights = F.flatten(F.transform(betas, lambda b: F.transform(gammas, lambda g: F.struct(F.col("alpha").alias("alpha"), b.alias("beta"), g.alias("gamma")))))
-        grid = computed(grid, grid=weights)
-        grid = computed(grid, state=smoothed(F.col("y"), season, F.col("growing"), F.col("factor"), F.col("grid")))
-        found = grid.where("state is not null").groupBy(*keys).agg(F.min_by("state", F.struct("state.sse", "alpha")).alias("state"))
-        best = rows.join(found, keys, "left").withColumn("centre", F.coalesce("state.weights", start))
-        reach /= SHRINK
-    return best.select(*names, "state")
+    rows = computed(rows.repartition(tasks, *keys), growing=F.col("trend") == "mul", factor=F.col("seasonal") == "mul", suits=suits)
+    centre, reach, state = [F.lit(0.5) for _ in WEIGHTS], REACH, ""
+    for i in range(SEARCHES):
+        alphas, betas, gammas = (_near(c, reach) for c in centre)
+        grid = F.flatten(F.transform(alphas, _crossed(betas, gammas)))
+        state = f"state_{i}"
+        rows = computed(rows, **{f"grid_{i}": F.when(F.col("suits"), grid)})
+        best = smoothed(F.col("y"), season, F.col("growing"), F.col("factor"), F.col(f"grid_{i}"))
+        rows = computed(rows, **{state: F.when(F.col("suits"), best)})
+        centre, reach = [F.col(f"{state}.weights.{w}") for w in WEIGHTS], reach / SHRINK
+    return rows.select(*names, F.col(state).alias("state"))
+
+
+def _crossed(betas: Column, gammas: Column):
+    """Every beta and gamma behind an alpha."""
+    return lambda a: F.flatten(F.transform(betas, lambda b: F.transform(gammas, lambda g: F.struct(
+        a.alias("alpha"), b.alias("beta"), g.alias("gamma")))))
 
 
 def holt_winters(series: DataFrame, season: int = SEASON_WEEKS) -> DataFrame:
@@ -267,7 +268,7 @@ def holt_winters(series: DataFrame, season: int = SEASON_WEEKS) -> DataFrame:
     train = chronological_split(series.where("split = 'train'").drop("split"), F.floor(F.col("n") * 0.1))
     forms = F.explode(F.array(*[F.struct(F.lit(t).alias("trend"), F.lit(s).alias("seasonal")) for t, s in FORMS]))
     trial = as_arrays(train, "fit").withColumn("form", forms).select("series_key", "y", "test", "form.*")
-    tried = checkpointed(smoothing_search(trial, season))
+    tried = smoothing_search(trial, season)
     ahead = extended(F.col("state"), season, F.col("trend"), F.col("seasonal"), F.size("test"))
     squares = total(F.zip_with("test", ahead, lambda p, v: (p["y"] - v) * (p["y"] - v)))
     error = F.when(F.col("state").isNotNull() & (F.size("test") > 0), F.sqrt(squares / F.size("test")))
