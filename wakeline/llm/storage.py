@@ -1,19 +1,15 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wakeline.session import shared_base
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where the session names none."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="wakeline-shared-")
-        context.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/wakeline-{name}-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share; see ``session.shared_base``."""
+    return f"{shared_base(spark.sparkContext).rstrip('/')}/wakeline-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
