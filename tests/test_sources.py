@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import position
 from wakeline.functions import time
+from wakeline.operators import tracks
 from wakeline.sources import census, dimensions, readers, writers
 
 DUMP = """-- header comment; with a semicolon
@@ -75,6 +76,22 @@ def test_track_store_skips_what_it_holds(spark, reports, tmp_path):
     assert writers.stored_track_keys(spark, path).count() == third["skipped"]
 
 
+def test_track_table_is_read_without_an_exchange(spark, reports, tmp_path):
+    rows = reports.withColumn("track_year", time.utc_year("timestamp"))
+    writers.write_track_table(rows, "bucketed_tracks", str(tmp_path / "table"), 8)
+    try:
+        table = spark.table("bucketed_tracks")
+        sizes = tracks.track_sizes(table)
+        assert "Exchange" not in sizes._jdf.queryExecution().executedPlan().toString()
+        want = tracks.track_sizes(tracks.tracks(rows))
+        assert sorted(map(tuple, sizes.collect())) == sorted(map(tuple, want.collect()))
+        keys = table.select("track_year", "MMSI").distinct()
+        assert "Exchange" not in keys._jdf.queryExecution().executedPlan().toString()
+        assert table.count() == tracks.tracks(rows).count()
+    finally:
+        spark.sql("drop table if exists bucketed_tracks")
+
+
 def test_census_counts_by_substring(spark, tmp_path):
     (tmp_path / "tracks").mkdir()
     (tmp_path / "tracks" / "vessel_track_2021_247202000.csv").write_text("x")

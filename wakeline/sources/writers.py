@@ -10,6 +10,10 @@ from wakeline.operators.tracks import new_tracks, saved_and_skipped, tracks
 from wakeline.schema import TRACK_KEYS
 
 
+#: Buckets of the track table; a table of terabytes wants thousands.
+TRACK_BUCKETS = 64
+
+
 def write_chunks(df: DataFrame, path: str, rows: int = ROWS_PER_FILE, by: str | None = None) -> None:
     """CSV files of at most `rows` rows each, in a folder per value of `by` when given."""
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", rows).option("header", True)
@@ -59,6 +63,18 @@ def append_tracks(df: DataFrame, path: str) -> dict[str, int]:
     return outcome
 
 
+def write_track_table(df: DataFrame, name: str, path: str | None = None, buckets: int = TRACK_BUCKETS) -> None:
+    """The tracks as a table bucketed by year and vessel and sorted by time within them.
+
+    Sizes, gaps and the anti join against the table then read each bucket where it lies, without an exchange. A
+    vessel's year is one bucket's rows: a transmitter's reporting rate bounds it to a few million. Where one key
+    can hold more, `append_tracks` spreads it over files by time instead.
+    """
+    sorted_ = tracks(df).repartition(buckets, *TRACK_KEYS)
+    writer = sorted_.write.mode("overwrite").bucketBy(buckets, *TRACK_KEYS).sortBy(*TRACK_KEYS, "timestamp")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
 def stored_track_keys(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*[F.col(k) for k in TRACK_KEYS]).distinct()
 
