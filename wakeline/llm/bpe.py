@@ -16,7 +16,6 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ from pyspark.sql import types as T
 from wakeline.llm.words import blocks, in_batches
 
 LONG_WORD = 64
-#: Entries of one cache generation; a worker holds two of words and two of stretches.
-CACHED_WORDS = 150_000
+#: Entries of one cache generation; a worker holds two of words and two of stretches, tokens as packed 32-bit numbers.
+CACHED_WORDS = 90_000
 NO_RANK = 1 << 60
 #: A pair of symbols as one number: left << SHIFT | right.
 SHIFT = 24
@@ -98,8 +97,9 @@ class Vocabulary:
         parts[-1] = self.last[raw[-1]]
         return parts
 
-    def word(self, word: str) -> tuple[int, ...]:
-        return tuple(self.merge(self.symbols(word)))
+    def word(self, word: str) -> bytes:
+        """Packed tokens of a word."""
+        return array("i", self.merge(self.symbols(word))).tobytes()
 
     def merge(self, parts: list[int]) -> list[int]:
         """All merges of one word, lowest rank first, leftmost on ties."""
@@ -141,8 +141,8 @@ class Vocabulary:
                 heapq.heappush(heap, (m, before[i]))
         return [p for p in parts if p is not None]
 
-    def stretch(self, text: str) -> tuple[int, ...]:
-        """Tokens of a stretch without white space."""
+    def stretch(self, text: str) -> bytes:
+        """Packed tokens of a stretch without white space."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # Letter by letter: a sigma that ends a word is no special case here.
@@ -151,12 +151,12 @@ class Vocabulary:
         words = self.words.load(pieces)
         if len(pieces) == 1:
             return words[pieces[0]]
-        return tuple(chain.from_iterable(map(words.__getitem__, pieces)))
+        return b"".join(map(words.__getitem__, pieces))
 
     def plain(self, text: str) -> array:
         """Tokens of a text without special tokens; stretches seen before come from the cache."""
         stretches = SPACE.split(text) if CONTROLS.search(text) else text.split()
-        return array("i", chain.from_iterable(map(self.stretches.load(stretches).__getitem__, stretches)))
+        return array("i", b"".join(map(self.stretches.load(stretches).__getitem__, stretches)))
 
     def encode(self, text: str) -> array:
         out, at = array("i"), 0
