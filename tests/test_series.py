@@ -214,3 +214,18 @@ def test_many_series_are_fitted_in_many_tasks(spark):
 def test_unit_seasonal_naive_split(spark):
     marked = ops.chronological_split(weekly(spark, range(25)).drop("split"), F.floor(F.col("n") * 0.1))
     assert marked.where("split = 'validate'").count() == 2
+
+
+def test_forest_does_not_depend_on_the_number_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "SIZES", (10,))
+    monkeypatch.setattr(forecast, "DEPTHS", (4,))
+    values = [50.0 + 9 * math.sin(t / 3) + t % 7 for t in range(80)]
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            weeks = weekly(spark, values, key="a").unionByName(weekly(spark, values[:60], key="b")).unionByName(weekly(spark, values[::-1], key="c"))
+            found.append({(r.series_key, r.week): r.prediction for r in forecast.forest_on_lags(weeks).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(found[0]) == 30 and found[0] == found[1]

@@ -228,7 +228,9 @@ def many_weeks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return forecast.model_comparison(forecast.all_forecasts(checkpointed(many_weeks(spark, sf))))
+    # Stored, as the comparison reads the forecasts twice.
+    forecasts = checkpointed(forecast.all_forecasts(checkpointed(many_weeks(spark, sf))))
+    return forecast.model_comparison(forecasts)
 
 
 def by_country(spark: SparkSession, sf: str) -> DataFrame:

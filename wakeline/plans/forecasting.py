@@ -18,9 +18,9 @@ def tests(weeks: DataFrame) -> dict[str, DataFrame]:
 
 
 def run(reports: DataFrame, source: str | None = None, key: Column | None = None) -> dict[str, DataFrame]:
-    """Series, tests, forecasts and the comparison table. The series is small and cached."""
+    """Series, tests, forecasts and the comparison table. The series and forecasts are small and cached."""
     weeks = weekly(reports, source, key).cache()
-    forecasts = forecast.all_forecasts(weeks)
+    forecasts = forecast.all_forecasts(weeks).cache()
     return {
         "series": weeks,
         **tests(weeks),
