@@ -12,12 +12,15 @@ from tokenizers import Tokenizer
 
 from tests.conftest import SMALL
 from tests.llm import brute
-from wakeline.llm import ngram, similar, toxicity
+from wakeline.llm import line_dedup, ngram, similar, toxicity
 from wakeline.llm.bpe import LONG_WORD, Vocabulary
 from wakeline.llm.decontaminate import Patterns
 from wakeline.llm.line_dedup import CharacterShingles
 from wakeline.llm.near_dedup import WordShingles, super_minhash
 from wakeline.llm.queries import QUERIES
+from wakeline.llm.similar import Sets
+from wakeline.llm.words import ROLL, mixed
+from wakeline.models.components import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -138,6 +141,39 @@ def test_wu_manber_equals_plain_search():
             assert list(Patterns(length, patterns).find(text)) == want
 
 
+def test_line_buckets_travel_packed_and_give_the_same_edges_however_cut(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    lines = [" ".join(words[(i * k) % 10] for k in range(1, 9)) + f" {i % 40}" for i in range(120)] + ["short", "tiny", "x"]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::7])) for i in range(7)] + [(9, "\n".join(lines[::3]))], "id long, text string").repartition(3)
+    measure = line_dedup.CharacterShingles()
+    for shares in (1, 5):
+        rows = line_dedup.bucket_rows(docs, measure, shares)
+        assert rows.count() <= 3 * shares and rows.agg({"share": "max"}).first()[0] < shares
+        found = line_dedup._edges(rows)
+        got = components(found).collect()
+        distinct = sorted({line_dedup.canonical(x.encode()) for x in lines})
+        keys = measure.keys(measure.signatures(*measure.sets(distinct), len(distinct)))
+        up = Sets(len(distinct))
+        for i in range(len(distinct)):
+            for j in range(i):
+                if (keys[i] == keys[j]).any():
+                    up.join(i, j)
+        ids = [line_dedup.line_id(x) for x in distinct]
+        groups = {}
+        for i, x in enumerate(ids):
+            groups.setdefault(up.root(i), []).append(x)
+        assert {r.node: r.root for r in got} == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
+
+
+def test_byte_runs_are_the_polynomial_of_every_place(monkeypatch):
+    data = np.frombuffer(bytes(range(40, 110)), np.uint8)
+    monkeypatch.setattr(line_dedup, "PIECE", 16)
+    for length in (1, 2, 3, 7, 9):
+        wanted = [sum(int(v) * int(ROLL) ** (length - 1 - k) for k, v in enumerate(data[i : i + length])) % 2**64 for i in range(len(data) - length + 1)]
+        assert line_dedup.byte_runs(data, length).tolist() == mixed(np.array(wanted, np.uint64)).tolist()
+    assert len(line_dedup.byte_runs(data[:3], 9)) == 0
+
+
 @pytest.mark.parametrize("measure", [WordShingles(85), CharacterShingles(80)])
 def test_large_candidate_groups_lose_no_link(spark, monkeypatch, measure):
     """Chains, hubs and strangers in one candidate component, far larger than a block."""
