@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import unicodedata
 from collections import Counter
 
@@ -21,6 +22,7 @@ from wakeline.llm.queries import QUERIES
 from wakeline.llm.similar import Sets
 from wakeline.llm.words import ROLL, mixed
 from wakeline.models.components import components
+from wakeline.session import FILE_CLEANUP
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -165,6 +167,46 @@ def test_line_buckets_travel_packed_and_give_the_same_edges_however_cut(spark):
         assert {r.node: r.root for r in got} == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
 
 
+@pytest.mark.parametrize("n", [40, 200_000])
+def test_only_candidate_lines_leave_their_block(spark, n):
+    lines = [f"line {i} of {i * 7919 % 104729:x}" for i in range(4000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::8])) for i in range(8)], "id long, text string").repartition(4)
+    wanted = {line_dedup.line_id(x.encode()): x for x in lines[::100]}
+    bits = line_dedup.line_filter(spark.createDataFrame([(x,) for x in wanted], "id long"), n)
+    assert len(bits) == (1 if n == 40 else 8) << line_dedup.SEGMENT - 3
+    got = {r.id: r.text for r in line_dedup.distinct_lines(docs, spark.sparkContext.broadcast(bits)).collect()}
+    assert got.items() >= wanted.items() and len(got) <= len(wanted) + 4
+
+
+def test_lines_do_not_depend_on_the_filter(spark, monkeypatch):
+    near = "the quick brown fox jumps over the lazy dog and runs away into the woods for the rest of the day"
+    docs = [{"doc_id": i, "text": "\n".join([f"own line {i} {i * 104729:x}", near + f" {i % 3}", "shared"])} for i in range(12)]
+    rows = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string").repartition(3)
+    want = sorted(brute.fuzzy_lines(docs))
+    assert sorted(map(tuple, line_dedup.removed_lines(rows).collect())) == want
+    monkeypatch.setattr(line_dedup, "line_filter", lambda wanted, n: np.full(1 << line_dedup.SEGMENT - 3, 255, np.uint8))
+    assert sorted(map(tuple, line_dedup.removed_lines(rows).collect())) == want
+
+
+def test_lines_leave_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = blocks.getAllFiles()
+        return {name for i in range(every.size()) if (name := every.apply(i).getName()).startswith("shuffle_")}
+
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    texts = [(i, "\n".join(" ".join(words[(i * j + k) % 10] for k in range(12)) for j in range(1, 9))) for i in range(40)]
+    docs, before = spark.createDataFrame(texts, "doc_id long, text string"), files()
+    line_dedup.fuzzy_lines(docs)
+    for _ in range(100):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(FILE_CLEANUP) == "false"
+
+
 def test_byte_runs_are_the_polynomial_of_every_place(monkeypatch):
     data = np.frombuffer(bytes(range(40, 110)), np.uint8)
     monkeypatch.setattr(line_dedup, "PIECE", 16)
